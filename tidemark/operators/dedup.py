@@ -21,25 +21,26 @@ def dedup_any(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
-def total_order(df: DataFrame, keys: Iterable[str], order_by: Iterable[Column]) -> list[Column]:
-    """``order_by`` followed by every other sortable column, so that the winner never depends on
-    file or task order."""
+def total_order(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -> list[Column]:
+    """``latest_by``, then every other sortable column, each from high to low, so that the winner
+    never depends on file or task order."""
+    named = [*keys, *latest_by]
     rest = [
-        F.col(f"`{field.name}`").desc_nulls_last()
+        field.name
         for field in df.schema
-        if field.name not in set(keys) and not isinstance(field.dataType, (T.MapType, T.VariantType))
+        if field.name not in named and not isinstance(field.dataType, (T.MapType, T.VariantType))
     ]
-    return [*order_by, *rest]
+    return [F.col(f"`{name}`").desc_nulls_last() for name in (*latest_by, *rest)]
 
 
-def dedup_latest(df: DataFrame, keys: Iterable[str], order_by: Iterable[Column]) -> DataFrame:
-    """First row per key by ``order_by`` (say, newest file first), ties broken by all columns.
+def dedup_latest(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -> DataFrame:
+    """The row with the highest ``latest_by`` values per key; ties are broken by all columns.
 
     ``row_number = 1`` lets Spark drop losers inside each task before the shuffle
     (``WindowGroupLimit``), so a key that holds a third of all rows sends one row per task.
     """
-    keys = list(keys)
-    rank = Window.partitionBy(*keys).orderBy(*total_order(df, keys, order_by))
+    keys, latest_by = list(keys), list(latest_by)
+    rank = Window.partitionBy(*keys).orderBy(*total_order(df, keys, latest_by))
     return df.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 
 
@@ -54,10 +55,10 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str)
 
 
 def merge_latest(
-    stored: DataFrame, new: DataFrame, keys: Iterable[str], order_by: Iterable[Column]
+    stored: DataFrame, new: DataFrame, keys: Iterable[str], latest_by: Iterable[str]
 ) -> DataFrame:
     """Stored and new rows in one, the latest row per key."""
-    return dedup_latest(diagonal_union(stored, new), keys, order_by)
+    return dedup_latest(diagonal_union(stored, new), keys, latest_by)
 
 
 def merge_keep_stored(stored: DataFrame, new: DataFrame, keys: Iterable[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,8 @@ from tidemark.sources.catalogue import list_files
 
 SOURCE_FILE, SOURCE_CLASS, SOURCE_MODIFIED = "source_file", "source_class", "source_modified"
 SOURCE = (SOURCE_FILE, SOURCE_CLASS, SOURCE_MODIFIED)
-
-
-def newest_source_first() -> list[Column]:
-    return [F.col(SOURCE_MODIFIED).desc_nulls_last(), F.col(SOURCE_FILE).asc_nulls_last()]
+#: The newest file wins; files of the same time are settled by name.
+NEWEST = (SOURCE_MODIFIED, SOURCE_FILE)
 
 
 def with_source(contract: Contract) -> Contract:
@@ -75,10 +73,10 @@ def compress_exports(
         rows = typed_rows(found, contract, rejects)
         target = f"{output}/{contract.name}"
         if keep == "latest":
-            merge_into(rows, target, contract.keys, newest_source_first(), batch)
+            merge_into(rows, target, contract.keys, NEWEST, batch=batch)
         else:
-            newest = dedup_latest(rows, contract.keys, newest_source_first())
-            merge_into(newest.drop(*SOURCE), target, contract.keys, None, batch)
+            newest = dedup_latest(rows, contract.keys, NEWEST)
+            merge_into(newest.drop(*SOURCE), target, contract.keys, batch=batch, unique=True)
     return found.report
 
 
@@ -102,7 +100,7 @@ def organize_exports(
         rows = typed_rows(found, contract)
         target = f"{output}/{contract.name}.csv"
         if contract.multi_class:
-            merged = dedup_latest(rows, contract.keys, newest_source_first())
+            merged = dedup_latest(rows, contract.keys, NEWEST)
             write_csv(merged.drop(*SOURCE), target, mode="overwrite")
             continue
         stored = stored_classes(spark, target)

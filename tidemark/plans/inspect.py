@@ -124,8 +124,10 @@ def _headers(
         found = found.withColumn("kinds", F.lit(None).cast("array<string>"))
     else:
         found = found.unionByName(columnar.read_footers(parquet), allowMissingColumns=True)
-    typed = found.join(files.select("path", "type"), "path")
-    return typed.select("path", "type", "header", _column_reason(loaded, strict).alias("reason"))
+    table = paths.type_of(paths.dataset_of(F.col("path")), [c.name for c in loaded])
+    return found.withColumn("type", table).select(
+        "path", "type", "header", _column_reason(loaded, strict).alias("reason")
+    )
 
 
 def _column_reason(loaded: Sequence[Contract], strict: bool) -> Column:
@@ -154,7 +156,7 @@ def _stage(
     usable = headers.filter((F.col("type") == contract.name) & F.col("reason").isNull())
     width, count = usable.agg(F.max(F.size("header")), F.count(F.lit(1))).first()
     usable = usable.select("path", "header")
-    loose = delimited.positional_rows(
+    loose = delimited.csv_rows(
         spark,
         roots,
         width or 1,

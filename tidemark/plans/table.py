@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,12 +65,19 @@ def _read(spark: SparkSession, path: str, current) -> DataFrame:
 
 
 def _commit(
-    df: DataFrame, path: str, version: int, batch: str | None, kept: Sequence[str], schema: T.StructType
+    spark: SparkSession,
+    path: str,
+    version: int,
+    batch: str | None,
+    kept: Sequence[str],
+    added: DataFrame | None,
+    schema: T.StructType,
 ) -> int:
-    spark = df.sparkSession
-    part = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{path}/data/{part}")
-    row = (version, batch, [*kept, part], schema.json())
+    parts = list(kept)
+    if added is not None:
+        parts.append(f"v{version:08d}-{uuid.uuid4().hex[:8]}")
+        added.write.parquet(f"{path}/data/{parts[-1]}")
+    row = (version, batch, parts, schema.json())
     log = spark.createDataFrame([row], COMMIT).coalesce(1)
     log.write.json(f"{path}/commits/{version:08d}")
     return version
@@ -80,26 +87,32 @@ def merge_into(
     new: DataFrame,
     path: str,
     keys: Iterable[str],
-    order_by: Iterable[Column] | None = None,
+    latest_by: Iterable[str] | None = None,
     batch: str | None = None,
+    unique: bool = False,
 ) -> int:
     """Merge ``new`` into the table at ``path`` by key and return the version number.
 
-    Without ``order_by`` stored rows stay and only rows with new keys are appended: the stored data
-    is not rewritten, and only its key columns are read. With ``order_by`` the first row per key
-    wins, wherever it is. Then only stored rows whose key occurs in ``new`` are compared; the others
+    Without ``latest_by`` stored rows stay and only rows with new keys are appended: the stored data
+    is not rewritten, and only its key columns are read. With ``latest_by`` the row with the
+    highest values in these columns wins, wherever it is. Then only stored rows whose key occurs in ``new`` are compared; the others
     are copied without a shuffle whenever the new keys are few enough for Catalyst to broadcast.
 
-    A ``batch`` that has been committed already is left alone, so a replayed batch changes nothing.
+    ``unique`` says that ``new`` has one row per key already. A ``batch`` that has been committed already is left alone, so a replayed batch changes nothing.
     """
     spark, keys = new.sparkSession, list(keys)
-    order_by = None if order_by is None else list(order_by)
+    latest_by = None if latest_by is None else list(latest_by)
     if batch is not None and has_batch(spark, path, batch):
         return version_of(spark, path)
-    fresh = dedup_any(new, keys) if order_by is None else dedup_latest(new, keys, order_by)
+    if unique:
+        fresh = new
+    elif latest_by is None:
+        fresh = dedup_any(new, keys)
+    else:
+        fresh = dedup_latest(new, keys, latest_by)
     current = _current(spark, path)
     if current is None:
-        return _commit(fresh, path, 1, batch, [], new.schema)
+        return _commit(spark, path, 1, batch, [], fresh, new.schema)
 
     # Written once: it is used twice below, and Catalyst then knows its size.
     fresh = materialise(fresh, "fresh")
@@ -108,16 +121,18 @@ def merge_into(
     retyped = any(schema[f.name].dataType != f.dataType for f in stored.schema)
     stored, fresh = fit(stored, schema), fit(fresh, schema)
     version = current.version + 1
+    if fresh.isEmpty() and not retyped:
+        return _commit(spark, path, version, batch, current.parts, None, schema)
 
-    if order_by is None:
+    if latest_by is None:
         # Stored keys that also occur in the batch first: a small batch is broadcast to that scan.
         known = materialise(match_keys(stored.select(keys), fresh, keys, "left_semi"), "known")
         added = match_keys(fresh, known, keys, "left_anti")
         if retyped or len(current.parts) >= MAX_PARTS:
-            return _commit(stored.unionAll(added), path, version, batch, [], schema)
-        return _commit(added, path, version, batch, current.parts, schema)
+            return _commit(spark, path, version, batch, [], stored.unionAll(added), schema)
+        return _commit(spark, path, version, batch, current.parts, added, schema)
 
     contested = match_keys(stored, fresh, keys, "left_semi")
-    winners = dedup_latest(contested.unionAll(fresh), keys, order_by)
+    winners = dedup_latest(contested.unionAll(fresh), keys, latest_by)
     settled = match_keys(stored, fresh, keys, "left_anti")
-    return _commit(settled.unionAll(winners), path, version, batch, [], schema)
+    return _commit(spark, path, version, batch, [], settled.unionAll(winners), schema)

@@ -95,16 +95,16 @@ _MERGED_ORDERS = """
 @query(_MERGED_ORDERS)
 def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, new = _order_states(spark, sf_dir)
-    return dedup.merge_latest(stored, new, ["order_key"], [F.col("changed").desc_nulls_last()])
+    return dedup.merge_latest(stored, new, ["order_key"], ["changed"])
 
 
 @query(_MERGED_ORDERS)
 def stored_merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same merge through a stored table in two versions."""
     stored, new = _order_states(spark, sf_dir)
-    path, latest = scratch_path(spark, "orders"), [F.col("changed").desc_nulls_last()]
+    path = scratch_path(spark, "orders")
     for batch in (stored, new):
-        merge_into(batch, path, ["order_key"], latest)
+        merge_into(batch, path, ["order_key"], ["changed"])
     return read_table(spark, path)
 
 
@@ -143,8 +143,8 @@ def stored_merge_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
 """)
 def dedup_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.col("ts").desc_nulls_last(), F.col("event_id").desc_nulls_last()]
-    return dedup.dedup_latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], order)
+    events = table(spark, sf_dir, "events")
+    return dedup.dedup_latest(events, ["user_id", "event_type"], ["ts", "event_id"])
 
 
 @query("SELECT DISTINCT md5(text) AS text_md5, n_chars FROM documents")

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.contracts import Contract, sql_names
 from tidemark.functions.casting import conform
@@ -23,6 +24,9 @@ from tidemark.scratch import broadcast_if_small, materialise
 #: Quotes are doubled inside quoted fields, as spreadsheet tools and data frames write them.
 CSV_OPTIONS = {"header": True, "escape": '"', "enforceSchema": True, "recursiveFileLookup": True}
 
+#: A file above this size is not left to one task.
+SPLIT_BYTES = 1024 * 1024 * 1024
+
 PathFilter = Callable[[Column], Column]
 
 
@@ -89,11 +93,12 @@ def positional_rows(
     wanted: PathFilter = everything,
     multiline: bool = True,
     numbered: bool = False,
+    also: Column | None = None,
 ) -> DataFrame:
-    """(path, [row_no], cells); ``row_no`` rises within each file.
+    """(path, [row_no], cells) of whole files; ``row_no`` rises within each file.
 
     ``multiline`` allows line breaks inside quotes and keeps each file in one task. Switch it off
-    for exports without such breaks, so that Spark can split large files.
+    for exports without such breaks, and Spark splits large files by itself.
     """
     names = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
@@ -102,6 +107,7 @@ def positional_rows(
         .options(**CSV_OPTIONS, multiLine=multiline)
         .csv(list(roots))
         .filter(wanted(F.col("_metadata.file_path")))
+        .filter(F.lit(True) if also is None else also)
     )
     columns = [F.col("_metadata.file_path").alias("path"), F.array(*names).alias("cells")]
     if numbered:
@@ -109,6 +115,108 @@ def positional_rows(
     return rows.select(columns)
 
 
+def split_rows(
+    spark: SparkSession,
+    roots: Iterable[str],
+    width: int,
+    wanted: PathFilter = everything,
+    also: Column | None = None,
+) -> DataFrame:
+    """(path, row_no, cells) of files too large for one task, line breaks inside quotes included.
+
+    The file is read as lines, which Spark splits. A line starts a record if an even number of
+    quotes precedes it in the file: the sum over earlier splits, from a small table, plus a running
+    sum inside the split. Records of one line go straight to the parser; only the lines of longer
+    records are brought together, record by record.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    in_split = Window.partitionBy("path", "split").orderBy("line_no")
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    splits_before = (
+        Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+    lines = (
+        spark.read.options(lineSep="\n", recursiveFileLookup=True)
+        .text(list(roots))
+        .filter(wanted(F.col("_metadata.file_path")))
+        .filter(F.lit(True) if also is None else also)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("line_no"),
+            "value",
+            quotes.alias("quotes"),
+        )
+    )
+    totals = lines.groupBy("path", "split").agg(F.sum("quotes").alias("quotes"))
+    opening = F.coalesce(F.sum("quotes").over(splits_before), F.lit(0))
+    openings = materialise(totals.select("path", "split", opening.alias("opening")), "openings")
+
+    # A line takes at least one byte, so this position rises through the whole file.
+    position = F.col("split") + F.row_number().over(in_split) - 1
+    odd_before = (F.col("opening") + F.sum("quotes").over(so_far) - F.col("quotes")) % 2
+    placed = (
+        lines.join(broadcast_if_small(openings), ["path", "split"])
+        .withColumns({"position": position, "starts": odd_before == 0})
+        .withColumn("record", F.max(F.when(F.col("starts"), F.col("position"))).over(so_far))
+        .select("path", "split", "position", "record", "starts", "quotes", "value")
+    )
+    placed = materialise(placed, "lines")
+
+    last = placed.groupBy("path", "split").agg(F.max("record").alias("record"))
+    running_in = last.select("path", "split", F.max("record").over(splits_before).alias("running_in"))
+    whole = F.col("starts") & (F.col("quotes") % 2 == 0)
+    blank = F.col("value").isin("", "\r")
+    single = placed.filter(whole & ~blank).select("path", "record", "value")
+    parts = F.array_sort(F.collect_list(F.struct("position", "value")))
+    broken = (
+        placed.filter(~whole)
+        .join(broadcast_if_small(materialise(running_in, "starts")), ["path", "split"])
+        .withColumn("record", F.coalesce("record", "running_in"))
+        .groupBy("path", "record")
+        .agg(F.array_join(parts["value"], "\n").alias("value"))
+    )
+    header = (
+        placed.filter((F.col("split") == 0) & ~blank)
+        .groupBy("path")
+        .agg(F.min("position").alias("header"))
+    )
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    record = F.regexp_replace("value", "\r$", "")
+    cells = F.from_csv(record, schema, {"escape": '"', "multiLine": "true"})
+    return (
+        single.unionAll(broken)
+        .join(broadcast_if_small(materialise(header, "header-lines")), "path")
+        .filter(F.col("record") > F.col("header"))
+        .select("path", F.col("record").alias("row_no"), cells.alias("c"))
+        .select("path", "row_no", F.expr(f"array({', '.join(f'c.c{i}' for i in range(width))})").alias("cells"))
+    )
+
+
+def csv_rows(
+    spark: SparkSession,
+    roots: Iterable[str],
+    width: int,
+    wanted: PathFilter = everything,
+    multiline: bool = True,
+    numbered: bool = False,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """(path, [row_no], cells) of all wanted files: larger ones split, the others read whole."""
+    if not multiline:
+        return positional_rows(spark, roots, width, wanted, False, numbered)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
+    large = files.filter(wanted(F.col("_metadata.file_path")) & (F.col("length") > split_bytes))
+    if large.select("path").isEmpty():
+        return positional_rows(spark, roots, width, wanted, True, numbered)
+    # On file sizes, too, Spark applies the condition to the listing.
+    size = F.col("_metadata.file_size")
+    small = positional_rows(spark, roots, width, wanted, True, numbered, size <= split_bytes)
+    rows = split_rows(spark, roots, width, wanted, size > split_bytes)
+    return small.unionByName(rows if numbered else rows.drop("row_no"))
+
+
 def bind(
     rows: DataFrame,
     headers: DataFrame,
@@ -142,6 +250,7 @@ def read_csv(
     contract: Contract,
     multiline: bool = True,
     lenient: bool = False,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """All CSV files below ``roots`` as one table of the contract, bound by column name.
 
@@ -150,7 +259,7 @@ def read_csv(
     job or, when ``lenient``, gives NULL; ``casting.split_failed`` keeps such rows apart instead.
     """
     headers = materialise(read_headers(spark, roots), "headers")
-    rows = positional_rows(spark, roots, widest(headers), multiline=multiline)
+    rows = csv_rows(spark, roots, widest(headers), multiline=multiline, split_bytes=split_bytes)
     return conform(bind(rows, headers, contract, keep=()), contract, lenient)
 
 
