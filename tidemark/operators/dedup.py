@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.operators.union import diagonal_union
 
+#: Types without an order; they do not take part in settling ties.
+_UNORDERED = (T.MapType, T.VariantType)
+
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
@@ -21,27 +23,30 @@ def dedup_any(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
-def total_order(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -> list[Column]:
-    """``latest_by``, then every other sortable column, each from high to low, so that the winner
-    never depends on file or task order."""
-    named = [*keys, *latest_by]
-    rest = [
-        field.name
-        for field in df.schema
-        if field.name not in named and not isinstance(field.dataType, (T.MapType, T.VariantType))
-    ]
-    return [F.col(f"`{name}`").desc_nulls_last() for name in (*latest_by, *rest)]
-
-
 def dedup_latest(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -> DataFrame:
-    """The row with the highest ``latest_by`` values per key; ties are broken by all columns.
+    """The row with the highest ``latest_by`` values per key. Ties go to the highest values of the
+    other columns, left to right, so that the winner never depends on file or task order. NULL is
+    lower than any value, and NULL keys are equal to each other.
 
-    ``row_number = 1`` lets Spark drop losers inside each task before the shuffle
-    (``WindowGroupLimit``), so a key that holds a third of all rows sends one row per task.
+    The whole row is one ``max`` over a struct. Spark aggregates it inside each task before the
+    shuffle, so a key that holds a third of all rows sends one row per task.
     """
     keys, latest_by = list(keys), list(latest_by)
-    rank = Window.partitionBy(*keys).orderBy(*total_order(df, keys, latest_by))
-    return df.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
+    rest = [f for f in df.schema if f.name not in keys and f.name not in latest_by]
+    ordered = latest_by + [f.name for f in rest if not isinstance(f.dataType, _UNORDERED)]
+    unordered = [f.name for f in rest if isinstance(f.dataType, _UNORDERED)]
+    if not ordered and not unordered:
+        return df.distinct()
+    rank = F.struct(*[F.col(f"`{name}`") for name in ordered])
+    if unordered:
+        row = F.struct(*[F.col(f"`{name}`") for name in ordered + unordered])
+        best = F.max_by(row, rank)
+    else:
+        best = F.max(rank)
+    kept = df.groupBy(*keys).agg(best.alias("_row"))
+    return kept.select(
+        [F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns]
+    )
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str) -> DataFrame:
