@@ -6,6 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.contracts import MEDIA_VIEWS
+from tidemark.contracts import RESPONSES as RESPONSES_TABLE
 from tidemark.plans.exports import compress_exports, organize_exports, stored_classes
 from tidemark.plans.inspect import inspect
 from tidemark.plans.table import read_table
@@ -184,3 +186,24 @@ def test_organize(spark, exports, folder):
     before = stored_classes(spark, f"{out}/responses.csv").collect()
     organize_exports(spark, [exports], out)
     assert sorted(stored_classes(spark, f"{out}/responses.csv").collect()) == sorted(before)
+
+
+def test_many_files_go_by_buckets(spark, exports, folder, monkeypatch):
+    """More files than may be broadcast at once: same report, same rows."""
+    whole = inspect(spark, [exports], policy="all")
+    monkeypatch.setattr("tidemark.sources.delimited.BROADCAST_ROWS", 9)
+    split = inspect(spark, [exports], policy="all")
+    assert split.staged["responses"].select("bucket").distinct().count() > 1
+    assert sorted(outcomes(split.report, exports)) == sorted(outcomes(whole.report, exports))
+    for contract in (RESPONSES_TABLE, MEDIA_VIEWS):
+        rows = [sorted(map(tuple, i.rows(contract).collect()), key=repr) for i in (whole, split)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_large_files_are_split(spark, exports, monkeypatch):
+    whole = inspect(spark, [exports])
+    monkeypatch.setattr("tidemark.sources.delimited.SPLIT_BYTES", 100)
+    split = inspect(spark, [exports])
+    assert outcomes(split.report, exports) == outcomes(whole.report, exports)
+    rows = [sorted(map(tuple, i.rows(RESPONSES_TABLE).collect()), key=repr) for i in (whole, split)]
+    assert rows[0] == rows[1] and rows[0]

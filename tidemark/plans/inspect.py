@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import ATTACHMENTS, EXPORT_CONTRACTS, Contract
@@ -21,7 +21,7 @@ from tidemark.operators.choose import POLICIES, one_file_per_key
 from tidemark.operators.report import load_outcome
 from tidemark.scratch import broadcast_if_small, materialise
 from tidemark.sources import archives, columnar, delimited
-from tidemark.sources.catalogue import catalogue, is_file_of
+from tidemark.sources.catalogue import describe_files, is_file_of, list_files
 
 NO_SIBLING = "no_sibling_data"
 WRONG_TYPE = "wrong_type"
@@ -30,10 +30,11 @@ WRONG_TYPE = "wrong_type"
 @dataclass(frozen=True)
 class Inspection:
     """``report``: one row per file, with ``class_id`` and ``outcome``. ``staged``: per table, the
-    text rows of all files whose columns are known, with ``path`` and ``row_no``."""
+    text rows of all files whose columns are known, with ``path``, ``row_no`` and ``bucket``."""
 
     report: DataFrame
     staged: dict[str, DataFrame]
+    buckets: int
 
     def rows(self, contract: Contract) -> DataFrame:
         """Text rows of the files to load, with ``source_file``, ``source_class`` (that of the file,
@@ -45,7 +46,13 @@ class Inspection:
             F.col("modified").alias("source_modified"),
         )
         rows = self.staged[contract.name].withColumn("source_file", paths.unit_of(F.col("path")))
-        return rows.join(broadcast_if_small(chosen), "source_file").drop("path", "row_no")
+        # Bucket by bucket, as the rows were staged: the files of one are few enough to broadcast.
+        parts = []
+        for bucket in range(self.buckets):
+            mine = chosen.filter(delimited.bucket_of(F.col("source_file"), self.buckets) == bucket)
+            staged = rows.filter(F.col("bucket") == bucket)
+            parts.append(staged.join(broadcast_if_small(mine), "source_file"))
+        return reduce(DataFrame.unionAll, parts).drop("path", "row_no", "bucket")
 
 
 def inspect(
@@ -70,13 +77,26 @@ def inspect(
     roots, strict = list(roots), validation == "strict"
     live = [c for c in contracts if not c.legacy]
 
-    files = materialise(_all_files(spark, roots, contracts), "catalogue")
-    present = {row[0] for row in files.select("type").distinct().collect()}
+    loose = materialise(list_files(spark, roots), "listing")
+    files = describe_files(loose, contracts).unionByName(
+        archives.list_members(loose, contracts), allowMissingColumns=True
+    )
+    files = materialise(files, "catalogue")
+    facts = files.groupBy("type").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.max(F.when(F.col("archive_path").isNull(), F.col("size"))).alias("largest"),
+    )
+    present = {row["type"]: row for row in facts.collect()}
+    buckets = delimited.buckets_for(sum(row["files"] for row in present.values()))
     loaded = [c for c in live if c.name in present]
     cells = _member_cells(files, loaded)
     headers = materialise(_headers(spark, roots, files, cells, loaded, strict), "headers")
     staged = {
-        c.name: materialise(_stage(spark, roots, files, cells, headers, c, multiline), c.name)
+        c.name: materialise(
+            _stage(spark, roots, files, cells, headers, c, multiline, present[c.name], buckets),
+            c.name,
+            ("bucket",),
+        )
         for c in loaded
     }
 
@@ -84,13 +104,7 @@ def inspect(
     units = materialise(_judge(files, headers, verdicts, contracts, strict), "units")
     report = _outcomes(units, contracts, policy)
     report = report.unionByName(_attachments(files, units), allowMissingColumns=True)
-    return Inspection(materialise(report, "report"), staged)
-
-
-def _all_files(spark: SparkSession, roots: list[str], contracts: Sequence[Contract]) -> DataFrame:
-    loose = catalogue(spark, roots, contracts)
-    members = archives.list_members(spark, roots, contracts)
-    return loose.unionByName(members, allowMissingColumns=True)
+    return Inspection(materialise(report, "report"), staged, buckets)
 
 
 def _member_cells(files: DataFrame, loaded: Sequence[Contract]) -> DataFrame | None:
@@ -152,22 +166,29 @@ def _stage(
     headers: DataFrame,
     contract: Contract,
     multiline: bool,
+    facts: Row,
+    buckets: int,
 ) -> DataFrame:
     usable = headers.filter((F.col("type") == contract.name) & F.col("reason").isNull())
-    width, count = usable.agg(F.max(F.size("header")), F.count(F.lit(1))).first()
-    usable = usable.select("path", "header")
-    loose = delimited.csv_rows(
-        spark,
-        roots,
-        width or 1,
-        lambda path: is_file_of(path, [contract], "csv"),
-        multiline,
-        numbered=True,
-    )
-    parts = [delimited.bind(loose, usable, contract, ("path", "row_no"), count)]
+    usable, keep = usable.select("path", "header"), ("path", "row_no")
+    bucket = delimited.bucket_of(F.col("path"), buckets).alias("bucket")
+    large = (facts["largest"] or 0) > delimited.SPLIT_BYTES
+    parts = [
+        delimited.bound_rows(
+            spark,
+            roots,
+            usable,
+            contract,
+            lambda path: is_file_of(path, [contract], "csv"),
+            multiline,
+            delimited.SPLIT_BYTES if large else None,
+            buckets,
+            keep,
+        )
+    ]
     if cells is not None:
         members = archives.member_rows(cells)
-        parts.append(delimited.bind(members, usable, contract, ("path", "row_no"), count))
+        parts.append(delimited.bind(members, usable, contract, keep).select("*", bucket))
     of_type = files.filter((F.col("type") == contract.name) & (F.col("format") == "parquet"))
     if not of_type.isEmpty():
         broken = _wrong_typed(headers.filter(F.col("type") == contract.name))
@@ -177,7 +198,8 @@ def _stage(
             contract,
             lambda path: is_file_of(path, [contract], "parquet") & ~path.isin(broken),
         )
-        parts.append(stored.join(broadcast_if_small(usable.select("path"), known_rows=count), "path", "left_semi"))
+        stored = stored.join(broadcast_if_small(usable.select("path")), "path", "left_semi")
+        parts.append(stored.select("*", bucket))
     return reduce(DataFrame.unionByName, parts)
 
 

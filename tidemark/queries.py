@@ -29,7 +29,7 @@ from tidemark.plans.table import merge_into, read_table
 from tidemark.scratch import materialise, scratch_path
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
 from tidemark.sources import archives, columnar, delimited
-from tidemark.sources.catalogue import catalogue
+from tidemark.sources.catalogue import catalogue, list_files
 from tidemark.streaming.arrivals import merge_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -579,7 +579,7 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "zips")
     talks = table(spark, sf_dir, "conversations").select("text", "role", "turn", "conv_id")
     written = _write_archives(talks, root, "export/talks.csv")
-    members = archives.list_members(spark, [root], [contract])
+    members = archives.list_members(list_files(spark, [root]), [contract])
     members = members.withColumn("name", paths.file_name_of(F.col("archive_path")))
     cells = materialise(archives.read_members(members.join(written, "name", "left_semi")), "cells")
     return delimited.conform(

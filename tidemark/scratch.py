@@ -19,15 +19,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, and later steps see real sizes."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of at most a few hundred bytes (paths, places of columns) that are safe to broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def broadcast_if_small(
-    df: DataFrame, max_rows: int = 200_000, known_rows: int | None = None
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, known_rows: int | None = None
 ) -> DataFrame:
     """Hint a broadcast only after counting: more than ``max_rows`` rows are joined by shuffle.
 

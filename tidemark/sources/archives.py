@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.contracts import EXPORT_CONTRACTS, Contract
@@ -53,23 +53,16 @@ def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def list_members(
-    spark: SparkSession, roots: Iterable[str], contracts: Sequence[Contract] = EXPORT_CONTRACTS
-) -> DataFrame:
-    """Catalogue rows of all non-empty archive members, keyed by archive and member.
+def list_members(files: DataFrame, contracts: Sequence[Contract] = EXPORT_CONTRACTS) -> DataFrame:
+    """Catalogue rows of all non-empty members of the zip archives among ``files`` (path, modified),
+    keyed by archive and member.
 
     ``path`` is ``<archive>!/<member>``. Two archives with the same member path stay apart.
     """
-    archives = (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.[zZ][iI][pP]")
-        .load(list(roots))
-        .select(
-            # As a URI: from_uri wants the encoded form of local paths.
-            F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("archive_uri"),
-            F.col("_metadata.file_path").alias("archive_path"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-        )
+    archives = files.filter(F.lower("path").endswith(".zip")).select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("archive_uri"),
+        F.col("path").alias("archive_path"),
+        "modified",
     )
     members = archives.mapInArrow(_list_members, MEMBERS).filter("size > 0")
     path = F.concat_ws("!/", "archive_path", "member_path")

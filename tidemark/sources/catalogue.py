@@ -17,7 +17,11 @@ def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
     ``path`` is Spark's own URL-encoded file path, the same value that ``_metadata.file_path``
     gives in every other read, so that catalogue and rows join on it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
+    # Tasks are sized by file contents, which are not read here: without this, 100 TB of files would
+    # be listed by hundreds of thousands of tasks. The setting stays in a session of its own.
+    listing = spark.newSession()
+    listing.conf.set("spark.sql.files.maxPartitionBytes", "64t")
+    files = listing.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
     return files.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from pyspark.sql.window import Window
 
 from tidemark.contracts import Contract, sql_names
 from tidemark.functions.casting import conform
-from tidemark.scratch import broadcast_if_small, materialise
+from tidemark.functions.paths import unit_of
+from tidemark.scratch import BROADCAST_ROWS, broadcast_if_small, materialise
+from tidemark.sources.catalogue import list_files
 
 #: Quotes are doubled inside quoted fields, as spreadsheet tools and data frames write them.
 CSV_OPTIONS = {"header": True, "escape": '"', "enforceSchema": True, "recursiveFileLookup": True}
@@ -201,19 +204,16 @@ def csv_rows(
     wanted: PathFilter = everything,
     multiline: bool = True,
     numbered: bool = False,
-    split_bytes: int = SPLIT_BYTES,
+    split_above: int | None = None,
 ) -> DataFrame:
-    """(path, [row_no], cells) of all wanted files: larger ones split, the others read whole."""
-    if not multiline:
-        return positional_rows(spark, roots, width, wanted, False, numbered)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    large = files.filter(wanted(F.col("_metadata.file_path")) & (F.col("length") > split_bytes))
-    if large.select("path").isEmpty():
-        return positional_rows(spark, roots, width, wanted, True, numbered)
+    """(path, [row_no], cells) of all wanted files. Those larger than ``split_above`` bytes are
+    split, the others read whole. Without it, or without ``multiline``, there is one scan."""
+    if split_above is None or not multiline:
+        return positional_rows(spark, roots, width, wanted, multiline, numbered)
     # On file sizes, too, Spark applies the condition to the listing.
     size = F.col("_metadata.file_size")
-    small = positional_rows(spark, roots, width, wanted, True, numbered, size <= split_bytes)
-    rows = split_rows(spark, roots, width, wanted, size > split_bytes)
+    small = positional_rows(spark, roots, width, wanted, True, numbered, size <= split_above)
+    rows = split_rows(spark, roots, width, wanted, size > split_above)
     return small.unionByName(rows if numbered else rows.drop("row_no"))
 
 
@@ -240,6 +240,39 @@ def bind(
     return joined.selectExpr(*keep, *cells)
 
 
+def bucket_of(path: Column, buckets: int) -> Column:
+    """Bucket of a file; part files of one directory fall together."""
+    return F.pmod(F.hash(unit_of(path)), F.lit(buckets))
+
+
+def bound_rows(
+    spark: SparkSession,
+    roots: Iterable[str],
+    headers: DataFrame,
+    contract: Contract,
+    wanted: PathFilter = everything,
+    multiline: bool = True,
+    split_above: int | None = None,
+    buckets: int = 1,
+    keep: Sequence[str] = ("path",),
+) -> DataFrame:
+    """:func:`csv_rows` bound by :func:`bind`, with ``bucket``.
+
+    Where the header table is too large to broadcast, files are divided into ``buckets`` by path.
+    Each bucket is a scan of its own files with its own part of the header table, so that rows are
+    never shuffled to find their header.
+    """
+    width, numbered, parts = widest(headers), "row_no" in keep, []
+    for bucket in range(buckets):
+        mine, theirs = wanted, headers
+        if buckets > 1:
+            mine = lambda path, b=bucket: wanted(path) & (bucket_of(path, buckets) == b)
+            theirs = headers.filter(bucket_of(F.col("path"), buckets) == bucket)
+        rows = csv_rows(spark, roots, width, mine, multiline, numbered, split_above)
+        parts.append(bind(rows, theirs, contract, keep).withColumn("bucket", F.lit(bucket)))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def widest(headers: DataFrame) -> int:
     return headers.agg(F.max(F.size("header"))).first()[0] or 1
 
@@ -258,9 +291,25 @@ def read_csv(
     gives an empty table with the contract schema. Text that is not of the contract type fails the
     job or, when ``lenient``, gives NULL; ``casting.split_failed`` keeps such rows apart instead.
     """
+    roots = list(roots)
+    sizes = list_files(spark, roots).agg(F.count(F.lit(1)), F.max("size")).first()
     headers = materialise(read_headers(spark, roots), "headers")
-    rows = csv_rows(spark, roots, widest(headers), multiline=multiline, split_bytes=split_bytes)
-    return conform(bind(rows, headers, contract, keep=()), contract, lenient)
+    rows = bound_rows(
+        spark,
+        roots,
+        headers,
+        contract,
+        multiline=multiline,
+        split_above=split_bytes if (sizes[1] or 0) > split_bytes else None,
+        buckets=buckets_for(sizes[0]),
+    )
+    return conform(rows, contract, lenient)
+
+
+def buckets_for(files: int) -> int:
+    """Buckets that keep each part of a per-file table small enough to broadcast."""
+    # Buckets are uneven; a third of the limit is kept in reserve.
+    return 1 + files // (BROADCAST_ROWS * 2 // 3)
 
 
 def read_distinct(spark: SparkSession, roots: Iterable[str], contract: Contract) -> DataFrame:
