@@ -21,20 +21,25 @@ def spark():
     session.stop()
 
 
+def new_folder():
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def write_file(path, text, age=0):
+    """``age`` in seconds before a fixed moment, as modification time."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="") as file:
+        file.write(text)
+    os.utime(path, (1_700_000_000 - age,) * 2)
+    return path
+
+
 @pytest.fixture
 def folder():
     """A new folder per test; nothing is deleted afterwards."""
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return new_folder()
 
 
 @pytest.fixture
 def write():
-    def _write(path, text, age=0):
-        """``age`` in seconds before a fixed moment, as modification time."""
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", newline="") as file:
-            file.write(text)
-        os.utime(path, (1_700_000_000 - age,) * 2)
-        return path
-
-    return _write
+    return write_file

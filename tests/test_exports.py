@@ -4,11 +4,17 @@ import os
 import zipfile
 
 import pytest
+from conftest import new_folder, write_file
 from pyspark.sql import functions as F
 
 from tidemark.contracts import MEDIA_VIEWS
 from tidemark.contracts import RESPONSES as RESPONSES_TABLE
-from tidemark.plans.exports import compress_exports, organize_exports, stored_classes
+from tidemark.plans.exports import (
+    compress_exports,
+    find_orphans,
+    organize_exports,
+    stored_classes,
+)
 from tidemark.plans.inspect import inspect
 from tidemark.plans.table import read_table
 
@@ -22,9 +28,9 @@ def outcomes(report, root):
     }
 
 
-@pytest.fixture
-def exports(folder, write):
-    root = f"{folder}/in"
+@pytest.fixture(scope="module")
+def exports():
+    root, write = f"{new_folder()}/in", write_file
     row = "{c},s{s},i1,1,2024-01-0{s},\"say \"\"hi\"\", then\nleave\",{p}\n"
     write(f"{root}/full/responses.csv", RESPONSES + "\n" + row.format(c="c1", s=1, p=3))
     write(
@@ -55,9 +61,18 @@ def exports(folder, write):
     return root
 
 
-def test_strict_report(spark, exports):
-    report = inspect(spark, [exports]).report
-    got = outcomes(report, exports)
+@pytest.fixture(scope="module")
+def strict(spark, exports):
+    return inspect(spark, [exports])
+
+
+@pytest.fixture(scope="module")
+def everything(spark, exports):
+    return inspect(spark, [exports], policy="all")
+
+
+def test_strict_report(strict, exports):
+    got = outcomes(strict.report, exports)
     assert got == {
         ("full/responses.csv", "responses"): "load",
         ("reordered/Responses.CSV", "responses"): "load",
@@ -85,10 +100,19 @@ def test_fast_looks_at_first_rows_only(spark, exports):
     assert got["two/responses.csv", "responses"] == "load"
 
 
-def test_policy(spark, exports):
+def test_orphans(strict):
+    got = {tuple(r) for r in find_orphans(strict).collect()}
+    assert got == {
+        ("ghost", "registered_without_data"),
+        ("c6", "data_without_entry"),
+        ("c7", "data_without_entry"),
+    }
+
+
+def test_policy(spark, exports, everything):
     got = outcomes(inspect(spark, [exports], policy="first").report, exports)
     assert got["new/media_views.csv", "media_views"] == "load"  # "new" sorts before "old"
-    got = outcomes(inspect(spark, [exports], policy="all").report, exports)
+    got = outcomes(everything.report, exports)
     assert got["old/media_views.csv", "media_views"] == "load"
 
 
@@ -188,20 +212,20 @@ def test_organize(spark, exports, folder):
     assert sorted(stored_classes(spark, f"{out}/responses.csv").collect()) == sorted(before)
 
 
-def test_many_files_go_by_buckets(spark, exports, folder, monkeypatch):
+def test_many_files_go_by_buckets(spark, exports, everything, monkeypatch):
     """More files than may be broadcast at once: same report, same rows."""
-    whole = inspect(spark, [exports], policy="all")
+    whole = everything
     monkeypatch.setattr("tidemark.sources.delimited.BROADCAST_ROWS", 9)
     split = inspect(spark, [exports], policy="all")
     assert split.staged["responses"].select("bucket").distinct().count() > 1
-    assert sorted(outcomes(split.report, exports)) == sorted(outcomes(whole.report, exports))
+    assert outcomes(split.report, exports) == outcomes(whole.report, exports)
     for contract in (RESPONSES_TABLE, MEDIA_VIEWS):
         rows = [sorted(map(tuple, i.rows(contract).collect()), key=repr) for i in (whole, split)]
         assert rows[0] == rows[1] and rows[0]
 
 
-def test_large_files_are_split(spark, exports, monkeypatch):
-    whole = inspect(spark, [exports])
+def test_large_files_are_split(spark, exports, strict, monkeypatch):
+    whole = strict
     monkeypatch.setattr("tidemark.sources.delimited.SPLIT_BYTES", 100)
     split = inspect(spark, [exports])
     assert outcomes(split.report, exports) == outcomes(whole.report, exports)

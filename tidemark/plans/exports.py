@@ -15,6 +15,7 @@ from tidemark.functions import paths
 from tidemark.functions.casting import conform, split_failed
 from tidemark.operators.choose import newer_than_stored
 from tidemark.operators.dedup import dedup_latest
+from tidemark.operators.report import reconcile
 from tidemark.plans.inspect import Inspection, inspect
 from tidemark.plans.table import merge_into
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
@@ -116,6 +117,23 @@ def organize_exports(
     return found.report
 
 
+def find_orphans(
+    found: Inspection, contracts: Sequence[Contract] = EXPORT_CONTRACTS, registry: str = "classes"
+) -> DataFrame:
+    """Classes that only the registry table lists, or only data files have, with ``issue``.
+
+    Data classes come from the report, so no data rows are read.
+    """
+    single = [c.name for c in contracts if not c.multi_class and not c.legacy]
+    data = found.report.filter((F.col("outcome") == "load") & F.col("type").isin(*single))
+    if registry in found.staged:
+        contract = next(c for c in contracts if c.name == registry)
+        listed = found.rows(contract).select("class_id")
+    else:
+        listed = data.select("class_id").limit(0)
+    return reconcile(listed, data)
+
+
 def stored_classes(spark: SparkSession, path: str) -> DataFrame | None:
     """(class_id, modified) of the class directories below ``path``, or None if there are none."""
     try:

@@ -25,6 +25,7 @@ from tidemark.operators.project import project
 from tidemark.operators.union import diagonal_union
 from tidemark.plans.exports import compress_exports
 from tidemark.plans.inspect import inspect
+from tidemark.plans.load import load_latest
 from tidemark.plans.table import merge_into, read_table
 from tidemark.scratch import materialise, scratch_path
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
@@ -590,6 +591,28 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT c_custkey AS id, c_nationkey::BIGINT AS nation, c_mktsegment AS segment,
+           c_acctbal AS balance FROM customer
+    UNION ALL
+    SELECT s_suppkey, s_nationkey::BIGINT, NULL, s_acctbal FROM supplier
+""")
+def load_latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two directories; in one a newer Parquet table stands beside an older CSV of the same name."""
+    contract = Contract.of(
+        "accounts", "id BIGINT, nation BIGINT, note STRING, segment STRING, balance DOUBLE"
+    )
+    root = scratch_path(spark, "load-latest")
+    accounts = _accounts(spark, sf_dir).withColumn("nation", F.col("nation").cast("bigint"))
+    write_csv(accounts.withColumn("balance", F.lit(0.0)), f"{root}/a/accounts.csv")
+    write_parquet(accounts, f"{root}/a/accounts.parquet")
+    suppliers = table(spark, sf_dir, "supplier").selectExpr(
+        "s_acctbal AS balance", "s_nationkey AS nation", "s_suppkey AS id"
+    )
+    write_csv(suppliers.unionAll(suppliers).coalesce(1), f"{root}/b/accounts.csv")
+    return load_latest(spark, [root], contract)
+
+
 # --- whole jobs ----------------------------------------------------------------------------------
 
 _ACCOUNTS = Contract.of(
