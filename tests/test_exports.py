@@ -197,9 +197,16 @@ def test_rejects(spark, folder, write):
         compress_exports(spark, [f"{folder}/in"], f"{folder}/out2")
 
 
-def test_organize(spark, exports, folder):
+def test_organize(spark, exports, folder, write):
     out = f"{folder}/organized"
     organize_exports(spark, [exports], out)
+    # Registries of several runs are merged.
+    write(f"{folder}/more/classes.csv", "book,class_id\nb9,c9\nnew,c1\n", age=-1000)
+    organize_exports(spark, [f"{folder}/more"], out)
+    listed = spark.read.option("header", True).csv(f"{out}/classes.csv")
+    assert {(r.class_id, r.book) for r in listed.collect()} == {
+        ("c1", "new"), ("c2", "b2"), ("c9", "b9"), ("ghost", "b3"),
+    }
     classes = {r.class_id for r in stored_classes(spark, f"{out}/responses.csv").collect()}
     assert classes == {"c1", "c2", "c6"}
     # The layout is valid input again: part files in a class directory are one file.

@@ -15,6 +15,7 @@ from tidemark.operators import dedup, report, validate
 from tidemark.operators.choose import latest_per_parent, newer_than_stored, one_file_per_key
 from tidemark.operators.project import head_per_file, project
 from tidemark.operators.union import diagonal_union, supertype
+from tidemark.scratch import broadcast_if_small
 from tidemark.sources import columnar
 
 ROWS = "k1 string, k2 bigint, at bigint, v string"
@@ -193,6 +194,13 @@ def test_null_safe_merges_join_by_hash_or_sort(spark):
         assert "NestedLoop" not in shape and "Cartesian" not in shape
 
 
+def test_broadcast_needs_a_count(spark):
+    small = broadcast_if_small(spark.range(5), max_rows=5)
+    large = broadcast_if_small(spark.range(6), max_rows=5)
+    assert "strategy=broadcast" in plan(spark.range(9).join(small, "id"))
+    assert "strategy=broadcast" not in plan(spark.range(9).join(large, "id"))
+
+
 def test_one_file_per_key(spark):
     files = spark.createDataFrame(
         [

@@ -17,7 +17,7 @@ from tidemark.operators.choose import newer_than_stored
 from tidemark.operators.dedup import dedup_latest
 from tidemark.operators.report import reconcile
 from tidemark.plans.inspect import Inspection, inspect
-from tidemark.plans.table import merge_into
+from tidemark.plans.table import merge_into, read_table
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
 from tidemark.sources.catalogue import list_files
 
@@ -92,7 +92,8 @@ def organize_exports(
     """Lay exports out per class as ``<output>/<type>.csv/class=<id>/`` and return the load report.
 
     A class that is there already is replaced only by a newer file. Tables about many classes are
-    merged by key into ``<output>/<type>.csv``. Validation is always strict.
+    merged by key into the stored table ``<output>/<type>``, of which ``<output>/<type>.csv`` is a
+    copy. Validation is always strict.
     """
     found = inspect(spark, roots, contracts, "strict", policy, multiline)
     for contract in contracts:
@@ -101,7 +102,9 @@ def organize_exports(
         rows = typed_rows(found, contract)
         target = f"{output}/{contract.name}.csv"
         if contract.multi_class:
-            merged = dedup_latest(rows, contract.keys, NEWEST)
+            # The copy is overwritten, but never read for the next merge.
+            merge_into(rows, f"{output}/{contract.name}", contract.keys, NEWEST)
+            merged = read_table(spark, f"{output}/{contract.name}")
             write_csv(merged.drop(*SOURCE), target, mode="overwrite")
             continue
         stored = stored_classes(spark, target)

@@ -77,23 +77,41 @@ def inspect(
     roots, strict = list(roots), validation == "strict"
     live = [c for c in contracts if not c.legacy]
 
-    loose = materialise(list_files(spark, roots), "listing")
+    loose = list_files(spark, roots)
     files = describe_files(loose, contracts).unionByName(
         archives.list_members(loose, contracts), allowMissingColumns=True
     )
     files = materialise(files, "catalogue")
+    in_archive = F.col("archive_path").isNotNull()
     facts = files.groupBy("type").agg(
         F.count(F.lit(1)).alias("files"),
-        F.max(F.when(F.col("archive_path").isNull(), F.col("size"))).alias("largest"),
+        F.max(F.when(~in_archive, F.col("size"))).alias("largest"),
+        F.count_if(in_archive).alias("members"),
+        F.count_if(~in_archive & (F.col("format") == "parquet")).alias("parquet"),
+    )
+    facts = {row["type"]: row for row in facts.collect()}
+    buckets = delimited.buckets_for(sum(row["files"] for row in facts.values()))
+    loaded = [c for c in live if c.name in facts]
+    names = [c.name for c in loaded]
+
+    cells = None
+    if any(facts[name]["members"] for name in names):
+        members = files.filter(in_archive & F.col("type").isin(*names))
+        cells = materialise(archives.read_members(members), "cells")
+    parquet = None
+    if any(facts[name]["parquet"] for name in names):
+        parquet = files.filter(
+            ~in_archive & (F.col("format") == "parquet") & F.col("type").isin(*names)
+        )
+    headers = materialise(_headers(spark, roots, parquet, cells, loaded, strict), "headers")
+    usable = headers.filter(F.col("reason").isNull())
+    sizes = usable.groupBy("type").agg(
+        F.max(F.size("header")).alias("width"), F.count(F.lit(1)).alias("files")
     )
-    present = {row["type"]: row for row in facts.collect()}
-    buckets = delimited.buckets_for(sum(row["files"] for row in present.values()))
-    loaded = [c for c in live if c.name in present]
-    cells = _member_cells(files, loaded)
-    headers = materialise(_headers(spark, roots, files, cells, loaded, strict), "headers")
+    sizes = {row["type"]: row for row in sizes.collect()}
     staged = {
         c.name: materialise(
-            _stage(spark, roots, files, cells, headers, c, multiline, present[c.name], buckets),
+            _stage(spark, roots, cells, headers, c, multiline, facts[c.name], sizes.get(c.name), buckets),
             c.name,
             ("bucket",),
         )
@@ -107,18 +125,10 @@ def inspect(
     return Inspection(materialise(report, "report"), staged, buckets)
 
 
-def _member_cells(files: DataFrame, loaded: Sequence[Contract]) -> DataFrame | None:
-    names = [c.name for c in loaded]
-    members = files.filter(F.col("archive_path").isNotNull() & F.col("type").isin(*names))
-    if not names or members.isEmpty():
-        return None
-    return materialise(archives.read_members(members), "cells")
-
-
 def _headers(
     spark: SparkSession,
     roots: list[str],
-    files: DataFrame,
+    parquet: DataFrame | None,
     cells: DataFrame | None,
     loaded: Sequence[Contract],
     strict: bool,
@@ -126,15 +136,13 @@ def _headers(
     """(path, header, reason) of every loadable file."""
     known = sorted({name for c in loaded for name in c.names})
     if not known:
-        return spark.createDataFrame([], "path string, header array<string>, reason string")
+        return spark.createDataFrame([], "path string, type string, header array<string>, reason string")
     found = delimited.read_headers(
         spark, roots, lambda path: is_file_of(path, loaded, "csv"), known if strict else None
     )
     if cells is not None:
         found = found.unionByName(archives.member_headers(cells))
-    parquet = files.filter((F.col("format") == "parquet") & F.col("archive_path").isNull())
-    parquet = parquet.filter(F.col("type").isin(*[c.name for c in loaded]))
-    if parquet.isEmpty():
+    if parquet is None:
         found = found.withColumn("kinds", F.lit(None).cast("array<string>"))
     else:
         found = found.unionByName(columnar.read_footers(parquet), allowMissingColumns=True)
@@ -161,12 +169,12 @@ def _column_reason(loaded: Sequence[Contract], strict: bool) -> Column:
 def _stage(
     spark: SparkSession,
     roots: list[str],
-    files: DataFrame,
     cells: DataFrame | None,
     headers: DataFrame,
     contract: Contract,
     multiline: bool,
     facts: Row,
+    size: Row | None,
     buckets: int,
 ) -> DataFrame:
     usable = headers.filter((F.col("type") == contract.name) & F.col("reason").isNull())
@@ -184,13 +192,14 @@ def _stage(
             delimited.SPLIT_BYTES if large else None,
             buckets,
             keep,
+            size["width"] if size else 1,
+            size["files"] if size else 0,
         )
     ]
-    if cells is not None:
+    if facts["members"]:
         members = archives.member_rows(cells)
         parts.append(delimited.bind(members, usable, contract, keep).select("*", bucket))
-    of_type = files.filter((F.col("type") == contract.name) & (F.col("format") == "parquet"))
-    if not of_type.isEmpty():
+    if facts["parquet"]:
         broken = _wrong_typed(headers.filter(F.col("type") == contract.name))
         stored = columnar.text_rows(
             spark,

@@ -19,11 +19,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(
+    df: DataFrame,
+    name: str,
+    partition_by: tuple[str, ...] = (),
+    session: SparkSession | None = None,
+) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, and later steps see real sizes."""
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 #: Rows of at most a few hundred bytes (paths, places of columns) that are safe to broadcast.

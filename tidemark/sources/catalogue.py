@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.contracts import EXPORT_CONTRACTS, Contract
 from tidemark.functions import paths
+from tidemark.scratch import materialise
 
 
 def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
-    """(path, modified, size) of every non-empty file below ``roots``. Contents are not read.
+    """(path, modified, size) of every non-empty file below ``roots``, as found now. Contents are
+    not read.
 
     ``path`` is Spark's own URL-encoded file path, the same value that ``_metadata.file_path``
     gives in every other read, so that catalogue and rows join on it.
@@ -22,11 +24,12 @@ def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
     listing = spark.newSession()
     listing.conf.set("spark.sql.files.maxPartitionBytes", "64t")
     files = listing.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    return files.select(
+    files = files.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_size").alias("size"),
     )
+    return materialise(files, "listing", session=spark)
 
 
 def describe_files(

@@ -255,21 +255,25 @@ def bound_rows(
     split_above: int | None = None,
     buckets: int = 1,
     keep: Sequence[str] = ("path",),
+    width: int | None = None,
+    files: int | None = None,
 ) -> DataFrame:
     """:func:`csv_rows` bound by :func:`bind`, with ``bucket``.
 
     Where the header table is too large to broadcast, files are divided into ``buckets`` by path.
     Each bucket is a scan of its own files with its own part of the header table, so that rows are
-    never shuffled to find their header.
+    never shuffled to find their header. ``width`` and number of ``files`` of ``headers`` are looked
+    up if not given.
     """
-    width, numbered, parts = widest(headers), "row_no" in keep, []
+    width, numbered, parts = width or widest(headers), "row_no" in keep, []
     for bucket in range(buckets):
         mine, theirs = wanted, headers
         if buckets > 1:
             mine = lambda path, b=bucket: wanted(path) & (bucket_of(path, buckets) == b)
             theirs = headers.filter(bucket_of(F.col("path"), buckets) == bucket)
         rows = csv_rows(spark, roots, width, mine, multiline, numbered, split_above)
-        parts.append(bind(rows, theirs, contract, keep).withColumn("bucket", F.lit(bucket)))
+        bound = bind(rows, theirs, contract, keep, files if buckets == 1 else None)
+        parts.append(bound.withColumn("bucket", F.lit(bucket)))
     return reduce(DataFrame.unionAll, parts)
 
 
