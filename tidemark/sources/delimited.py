@@ -112,10 +112,9 @@ def positional_rows(
         .filter(wanted(F.col("_metadata.file_path")))
         .filter(F.lit(True) if also is None else also)
     )
-    columns = [F.col("_metadata.file_path").alias("path"), F.array(*names).alias("cells")]
-    if numbered:
-        columns.insert(1, F.monotonically_increasing_id().alias("row_no"))
-    return rows.select(columns)
+    number = ["monotonically_increasing_id() AS row_no"] if numbered else []
+    cells = f"array({', '.join(names)}) AS cells"
+    return rows.selectExpr("_metadata.file_path AS path", *number, cells)
 
 
 def split_rows(
