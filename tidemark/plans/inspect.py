@@ -21,7 +21,7 @@ from tidemark.operators.choose import POLICIES, one_file_per_key
 from tidemark.operators.report import load_outcome
 from tidemark.scratch import broadcast_if_small, materialise
 from tidemark.sources import archives, columnar, delimited
-from tidemark.sources.catalogue import describe_files, is_file_of, list_files
+from tidemark.sources.catalogue import describe_files, may_be_file_of, list_files
 
 NO_SIBLING = "no_sibling_data"
 WRONG_TYPE = "wrong_type"
@@ -29,11 +29,12 @@ WRONG_TYPE = "wrong_type"
 
 @dataclass(frozen=True)
 class Inspection:
-    """``report``: one row per file, with ``class_id`` and ``outcome``. ``staged``: per table, the
-    text rows of all files whose columns are known, with ``path``, ``row_no`` and ``bucket``."""
+    """``report``: one row per file, with ``class_id`` and ``outcome``. ``files``: which paths make
+    up each of them (``unit``). ``staged``: per table, the text rows of all files whose columns are known, with ``path``, ``row_no`` and ``bucket``."""
 
     report: DataFrame
     staged: dict[str, DataFrame]
+    files: DataFrame
     buckets: int
 
     def rows(self, contract: Contract) -> DataFrame:
@@ -45,13 +46,14 @@ class Inspection:
             F.col("class_id").alias("source_class"),
             F.col("modified").alias("source_modified"),
         )
-        rows = self.staged[contract.name].withColumn("source_file", paths.unit_of(F.col("path")))
+        chosen = chosen.join(self.files, chosen["source_file"] == self.files["unit"]).drop("unit")
+        rows = self.staged[contract.name]
         # Bucket by bucket, as the rows were staged: the files of one are few enough to broadcast.
         parts = []
         for bucket in range(self.buckets):
             mine = chosen.filter(delimited.bucket_of(F.col("source_file"), self.buckets) == bucket)
             staged = rows.filter(F.col("bucket") == bucket)
-            parts.append(staged.join(broadcast_if_small(mine), "source_file"))
+            parts.append(staged.join(broadcast_if_small(mine), "path"))
         return reduce(DataFrame.unionAll, parts).drop("path", "row_no", "bucket")
 
 
@@ -122,7 +124,7 @@ def inspect(
     units = materialise(_judge(files, headers, verdicts, contracts, strict), "units")
     report = _outcomes(units, contracts, policy)
     report = report.unionByName(_attachments(files, units), allowMissingColumns=True)
-    return Inspection(materialise(report, "report"), staged, buckets)
+    return Inspection(materialise(report, "report"), staged, files.select("path", "unit"), buckets)
 
 
 def _headers(
@@ -138,7 +140,7 @@ def _headers(
     if not known:
         return spark.createDataFrame([], "path string, type string, header array<string>, reason string")
     found = delimited.read_headers(
-        spark, roots, lambda path: is_file_of(path, loaded, "csv"), known if strict else None
+        spark, roots, lambda path: may_be_file_of(path, loaded, "csv"), known if strict else None
     )
     if cells is not None:
         found = found.unionByName(archives.member_headers(cells))
@@ -187,7 +189,7 @@ def _stage(
             roots,
             usable,
             contract,
-            lambda path: is_file_of(path, [contract], "csv"),
+            lambda path: may_be_file_of(path, [contract], "csv"),
             multiline,
             delimited.SPLIT_BYTES if large else None,
             buckets,
@@ -205,7 +207,7 @@ def _stage(
             spark,
             roots,
             contract,
-            lambda path: is_file_of(path, [contract], "parquet") & ~path.isin(broken),
+            lambda path: may_be_file_of(path, [contract], "parquet") & ~path.isin(broken),
         )
         stored = stored.join(broadcast_if_small(usable.select("path")), "path", "left_semi")
         parts.append(stored.select("*", bucket))
@@ -226,25 +228,23 @@ def _verdicts(
 ) -> DataFrame:
     """(unit, class_id, verdict) of the units that have rows."""
     found = spark.createDataFrame([], "unit string, class_id string, verdict string")
+    unit = paths.unit_of(F.col("path"))
     for c in loaded:
-        rows = staged[c.name].withColumn("unit", paths.unit_of(F.col("path")))
+        # Rows shrink to a few per path first; only then are paths cut to units.
+        rows = staged[c.name]
         if c.multi_class and strict:
-            one = rows.select("unit").distinct().withColumns(
-                {"class_id": F.lit(None).cast("string"), "verdict": F.lit(v.OK)}
-            )
+            seen = rows.select("path").distinct().select(unit.alias("unit")).distinct()
+            one = seen.selectExpr("unit", "cast(NULL AS string) AS class_id", f"'{v.OK}' AS verdict")
         elif strict:
-            one = v.single_id_check(rows, "unit").withColumnRenamed("outcome", "verdict").drop("rows")
+            pairs = rows.select("path", "class_id").distinct().withColumn("unit", unit)
+            one = v.single_id_check(pairs, "unit").withColumnRenamed("outcome", "verdict").drop("rows")
         else:
-            placed = rows.withColumn("_at", F.struct("path", "row_no"))
-            first = v.first_id_check(placed, "unit", "_at")
-            one = (
-                rows.select("unit")
-                .distinct()
-                .join(first, "unit", "left")
-                .withColumn(
-                    "verdict", F.when(F.col("class_id").isNull(), v.NO_CLASS).otherwise(v.OK)
-                )
-            )
+            first = v.first_id_check(rows, "path", "row_no")
+            first = rows.select("path").distinct().join(first, "path", "left").withColumn("unit", unit)
+            classed = F.when(F.col("class_id").isNotNull(), F.col("path"))
+            one = first.groupBy("unit").agg(F.min_by("class_id", classed).alias("class_id"))
+            verdict = F.when(F.col("class_id").isNull(), v.NO_CLASS).otherwise(v.OK)
+            one = one.withColumn("verdict", verdict)
         found = found.unionByName(one)
     return found
 

@@ -13,7 +13,7 @@ from tidemark.operators.choose import latest_per_parent
 from tidemark.operators.project import project
 from tidemark.scratch import broadcast_if_small, materialise
 from tidemark.sources import columnar, delimited
-from tidemark.sources.catalogue import describe_files, is_file_of, list_files
+from tidemark.sources.catalogue import describe_files, may_be_file_of, list_files
 
 
 def load_latest(
@@ -32,7 +32,7 @@ def load_latest(
     files = materialise(files.join(newest, "dataset", "left_semi"), "newest")
 
     largest, count = files.agg(F.max("size"), F.count(F.lit(1))).first()
-    headers = delimited.read_headers(spark, roots, lambda path: is_file_of(path, [contract], "csv"))
+    headers = delimited.read_headers(spark, roots, lambda path: may_be_file_of(path, [contract], "csv"))
     headers = headers.join(files.select("path"), "path", "left_semi")
     stored = files.filter("format = 'parquet'")
     if not stored.isEmpty():
@@ -44,13 +44,13 @@ def load_latest(
         roots,
         headers,
         contract,
-        lambda path: is_file_of(path, [contract], "csv"),
+        lambda path: may_be_file_of(path, [contract], "csv"),
         split_above=delimited.SPLIT_BYTES if (largest or 0) > delimited.SPLIT_BYTES else None,
         buckets=delimited.buckets_for(count),
     ).drop("bucket")
     if not stored.isEmpty():
         typed = columnar.text_rows(
-            spark, roots, contract, lambda path: is_file_of(path, [contract], "parquet")
+            spark, roots, contract, lambda path: may_be_file_of(path, [contract], "parquet")
         )
         chosen = broadcast_if_small(stored.select("path"))
         rows = rows.unionByName(typed.drop("row_no").join(chosen, "path", "left_semi"))

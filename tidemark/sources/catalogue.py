@@ -58,9 +58,15 @@ def catalogue(
     return describe_files(list_files(spark, roots), contracts)
 
 
-def is_file_of(path: Column, contracts: Sequence[Contract], fmt: str) -> Column:
-    """Condition on a path. On ``_metadata.file_path`` Spark applies it to the file listing, so
-    other files are never opened."""
-    dataset = paths.dataset_of(path)
-    wanted = paths.type_of(dataset, [c.name for c in contracts]).isNotNull()
-    return wanted & (paths.format_of(dataset) == fmt)
+def may_be_file_of(path: Column, contracts: Sequence[Contract], fmt: str) -> Column:
+    """Condition on a path that no file of these tables fails. On ``_metadata.file_path`` Spark
+    applies it to the file listing, so other files are never opened.
+
+    Spark tests it once more on every row. So it is made of plain substring tests; the exact rule in
+    :func:`describe_files` is left to joins with per-file tables.
+    """
+    lower, may_be = F.lower(path), F.lit(False)
+    for contract in contracts:
+        name = f"/{contract.name.lower()}.{fmt}"
+        may_be = may_be | lower.endswith(name) | lower.contains(f"{name}/")
+    return may_be
