@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.contracts import Contract
 from tidemark.functions.casting import split_failed
 from tidemark.sources import delimited
+from tidemark.sources.catalogue import may_be_file_of
 
 CONTRACT = Contract.of("t", "id BIGINT, text STRING, flag BOOLEAN, ratio DOUBLE, note STRING")
 
@@ -94,3 +95,12 @@ def test_lenient_keeps_every_row(spark):
     good, bad = split_failed(texts.withColumn("ratio", F.lit("0.5")), CONTRACT)
     assert sorted(r.id or 0 for r in good.collect()) == [0, 1] and good.schema == CONTRACT.schema
     assert [(r.id, r.failed_columns) for r in bad.collect()] == [("one", ["id"])]
+
+
+def test_row_filters_are_plain(spark, folder, write):
+    """Spark repeats the path condition on every row, so it must not hold regular expressions."""
+    write(f"{folder}/t.csv", "id\n1\n")
+    rows = delimited.positional_rows(
+        spark, [folder], 1, lambda path: may_be_file_of(path, [CONTRACT], "csv")
+    )
+    assert "regexp" not in rows._jdf.queryExecution().toString() and rows.count() == 1
