@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, unigram
+from tidemark.llm.decontaminate import find_items
+from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next
 from tidemark.llm.substrings import remove_repeats
 
 #: The vocabulary files of public tokenizers; any other path can be given to the operators.
@@ -74,3 +76,64 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.count_tokens(docs, BYTE_BPE).drop("text")
+
+
+#: Rows of (doc_id or item_id, shingle) as the operators on shingles define them.
+SHINGLES = r"""
+    {name} AS (
+      SELECT DISTINCT id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda s: array_to_string(w[s:s+4], ' ')) END) AS shingle
+      FROM (SELECT {id} AS id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM {table})
+    )
+"""
+
+
+@query(
+    "WITH "
+    + SHINGLES.format(name="d", id="doc_id", table="documents")
+    + ","
+    + SHINGLES.format(name="q", id="item_id", table="benchmark")
+    + """
+    , sizes AS (SELECT id, count(*) AS n FROM q GROUP BY id)
+    SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n_shared, any_value(n) AS n_item,
+      count(*) / any_value(n) AS containment
+    FROM d JOIN q USING (shingle) JOIN sizes ON sizes.id = q.id
+    GROUP BY d.id, q.id HAVING 100 * count(*) >= 80 * any_value(n)
+    """
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(add_fingerprint(docs), ["text", "fingerprint"])
+    size = F.length("text")
+    moved = F.floor(size / 3).cast("int")
+    edited = rows.select(
+        "doc_id",
+        size.cast("long").alias("n_chars"),
+        F.concat(
+            F.substring("text", F.lit(1), size - moved), F.substring("next_text", F.lit(1), moved)
+        ).alias("edited"),
+        "fingerprint",
+        "next_fingerprint",
+    )
+    return add_fingerprint(edited, "edited", "edited_fingerprint").select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
