@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, unigram
+from tidemark.llm import bpe, language, pii, quality, unigram
 from tidemark.llm.decontaminate import find_items
 from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next
 from tidemark.llm.substrings import remove_repeats
@@ -137,3 +137,47 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )
+
+
+def _part(divisor: int, rest: int) -> Column:
+    """Whether a document's number has this remainder; false for a null id."""
+    remainder = F.crc32(F.col("doc_id").cast("string")) % divisor
+    return F.coalesce(remainder == rest, F.lit(False))
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", _part(5, 0))
+    model = language.train(docs.where("NOT held_out AND doc_id IS NOT NULL"))
+    return language.predict(docs.drop("lang"), model).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", _part(3, 1))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    learnt = docs.where("NOT held_out").join(labels, "doc_id")
+    return quality.predict(docs, quality.train(learnt, "quality")).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.BASE],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("pii")).alias("spans"),
+    )
