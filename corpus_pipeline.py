@@ -3,13 +3,85 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from tidemark.llm import bpe, language, pii
+from tidemark.llm.decontaminate import count_items
+from tidemark.llm.near import near_duplicates
+from tidemark.llm.queries import BYTE_BPE
+from tidemark.scratch import materialise
 
-#: SQL can't express the stages: learned models, byte pair merges, reachability.
+#: A document is rejected whose best language has less than this mean probability. Chance alone gives
+#: a quarter among four languages, so texts in two of them stay.
+LEAST_SCORE = 0.3
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told with :data:`LEAST_SCORE`; a missing ``lang`` is filled in.
+
+    Texts that are null or have no letter go.
+    """
+    model = language.train(docs.where("doc_id IS NOT NULL"))
+    known = language.predict(docs, model).where(
+        (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
+    )
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each class; of repeated rows, one. Rows without an id stay."""
+    classes = near_duplicates(docs).where("doc_id IS NOT NULL")
+    act = classes.groupBy("doc_id").agg(
+        F.min("component_id").alias("least"), F.count("*").alias("copies")
+    )
+    act = materialise(act.where("least < doc_id OR copies > 1"), "duplicates")
+    kept = docs.join(act.where("least < doc_id").select("doc_id"), "doc_id", "left_anti")
+    again = act.where("least = doc_id").select("doc_id")
+    if not again.isEmpty():
+        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return count_items(docs, items).where("n_items = 0").select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by marks; ``n_chars`` follows the text."""
+    masked = pii.mask_pii(pii.find_pii(docs))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    changed = F.when(F.size("pii") > 0, size).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and whether they decode to its text again."""
+    coded = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select(
+        "doc_id", "lang", "source", "n_chars",
+        F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("pii", mask_personal_data),
+    ("byte_bpe", encode),
+]
+
+#: SQL can't express the stages: a learned model, validated spans, byte pair merges.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written, and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return docs

@@ -13,7 +13,7 @@ words the whole sequence is one shingle. Repeated rows give repeated results. Nu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
+from tidemark.llm.rows import add_columns
 
 #: Bytes of benchmark text that go to all tasks at once; more items take several passes.
 ITEM_BYTES = 32 << 20
@@ -66,26 +67,30 @@ def _candidates(
     return np.unique(np.concatenate(pairs), axis=0)
 
 
-def find_items(
-    docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5
-) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) for items held to at least ``percent``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+Search = Callable[[np.ndarray, np.ndarray], list[tuple]]
+
+
+def _searches(benchmark: DataFrame, percent: int, k: int) -> Iterator[Callable[[], Search]]:
+    """For each block of items of at most about :data:`ITEM_BYTES`: what makes a search in a task.
+
+    A search gives (row, item_id, n_shared, n_item) for texts as (bytes, offsets).
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / ITEM_BYTES))
-    context = docs.sparkSession.sparkContext
-    found = None
     for number in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
         part = some.toArrow()
-        sets, bounds = tx.shingle_sets(*tx.text_bytes(part.column("text")), k)
+        item_sets, item_bounds = tx.shingle_sets(*tx.text_bytes(part.column("text")), k)
         ids = part.column("item_id").to_pylist()
-        shared = context.broadcast((ids, sets, bounds, _signatures(sets, bounds, percent)))
+        shared = benchmark.sparkSession.sparkContext.broadcast(
+            (ids, item_sets, item_bounds, _signatures(item_sets, item_bounds, percent))
+        )
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def start(shared=shared) -> Search:
             ids, item_sets, item_bounds, signatures = shared.value
-            for batch, data, offsets in tx.batch_pieces(batches, "text"):
+
+            def search(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
                 sets, bounds = tx.shingle_sets(data, offsets, k)
                 hits = []
                 for r, i in _candidates(sets, bounds, signatures).tolist():
@@ -94,13 +99,33 @@ def find_items(
                     at = np.minimum(np.searchsorted(mine, item), len(mine) - 1)
                     both = int((mine[at] == item).sum())
                     if 100 * both >= percent * len(item):
-                        hits.append((r, ids[i], both, len(item), both / len(item)))
-                r, *columns = zip(*hits, strict=True) if hits else ([], [], [], [], [])
+                        hits.append((r, ids[i], both, len(item)))
+                return hits
+
+            return search
+
+        yield start
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) for items held to at least ``percent``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = None
+    for start in _searches(benchmark, percent, k):
+
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            search = start()
+            for batch, data, offsets in tx.batch_pieces(batches, "text"):
+                hits = search(data, offsets)
+                r, *columns = zip(*hits, strict=True) if hits else ([], [], [], [])
+                shared, size = (np.array(c, np.int64) for c in columns[1:])
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").take(pa.array(r, pa.int64())),
-                        *[pa.array(c, pa.int64()) for c in columns[:3]],
-                        pa.array(columns[3], pa.float64()),
+                        pa.array(columns[0], pa.int64()),
+                        pa.array(shared),
+                        pa.array(size),
+                        pa.array(shared / size),
                     ],
                     ["doc_id", "item_id", "n_shared", "n_item", "containment"],
                 )
@@ -108,3 +133,22 @@ def find_items(
         here = rows.mapInArrow(run, SCHEMA)
         found = here if found is None else found.unionByName(here)
     return found
+
+
+def count_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """``docs`` with ``n_items``, how many items each document holds; without a shuffle."""
+    out = docs.withColumn("n_items", F.lit(0).cast("long"))
+    for start in _searches(benchmark, percent, k):
+
+        def begin(start=start) -> Callable[[np.ndarray, np.ndarray], list[pa.Array]]:
+            search = start()
+
+            def make(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+                held = np.array([h[0] for h in search(data, offsets)], np.int64)
+                return [pa.array(np.bincount(held, minlength=len(offsets) - 1))]
+
+            return make
+
+        more = add_columns(out, "text", "more_items long", begin)
+        out = more.withColumn("n_items", F.col("n_items") + F.col("more_items")).drop("more_items")
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, language, pii, quality, unigram
 from tidemark.llm.decontaminate import find_items
 from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next
+from tidemark.llm.near import near_duplicates
 from tidemark.llm.substrings import remove_repeats
 
 #: The vocabulary files of public tokenizers; any other path can be given to the operators.
@@ -113,6 +114,30 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    "WITH RECURSIVE "
+    + SHINGLES.format(name="d", id="doc_id", table="documents")
+    + """
+    , sets AS (SELECT id, list(shingle ORDER BY shingle) AS s, count(*) AS n FROM d GROUP BY id),
+    nodes AS (SELECT s, min(id) AS node, any_value(n) AS n FROM sets GROUP BY s),
+    e AS (SELECT node, n, unnest(s) AS shingle FROM nodes),
+    links AS (
+      SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.node <> b.node
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.node, b.node
+      HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+    ), reach AS (
+      SELECT node AS a, node AS b FROM nodes
+      UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+    ), least AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM documents LEFT JOIN sets ON sets.id = doc_id LEFT JOIN nodes USING (s) LEFT JOIN least USING (node)
+    """
+)
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
