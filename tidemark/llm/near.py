@@ -34,6 +34,10 @@ from tidemark.scratch import materialise
 
 ROUNDS = 3
 
+#: Sets that are compared at a time: so many outside the largest part of a bundle, with so many of it.
+CHUNK_SETS = 512
+PIECE_SETS = 2048
+
 #: Bits of a shingle's hash by which its frequency is counted; more than one shingle may share them.
 COUNTED = 40
 
@@ -160,6 +164,39 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long")
 
 
+def _compare(percent: int):
+    """Links between the sets of a chunk and those of a piece that have other labels."""
+
+    def compare(chunk: pa.Table, piece: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not (chunk.num_rows and piece.num_rows):
+            return none
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in chunk.column("members")]
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        labels, nodes = (chunk.column(c).to_numpy() for c in ("label", "node"))
+        out = [none]
+        for node, label, raw in zip(
+            piece.column("node"), piece.column("label"), piece.column("members"), strict=True
+        ):
+            mine = np.frombuffer(raw.as_buffer(), np.uint64)
+            low = np.searchsorted(every, mine, "left")
+            found = np.searchsorted(every, mine, "right") - low
+            ends = np.cumsum(found)
+            at = np.repeat(low - ends + found, found) + np.arange(ends[-1])
+            both = np.bincount(owner[at], minlength=len(sets))
+            near = 100 * both >= percent * (sizes + len(mine) - both)
+            hits = nodes[near & (labels != label.as_py())]
+            if len(hits):
+                out.append(pa.table({"a": hits, "b": np.full(len(hits), node.as_py())}))
+        return pa.concat_tables(out)
+
+    return compare
+
+
 def _sized(percent: int, x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
@@ -218,8 +255,7 @@ def near_duplicates(
         placed.select("bundle").groupBy("bundle").count().where("count > 1").select("bundle")
     )
     members = materialise(
-        placed.join(crowded, "bundle").select("bundle", "node", "n", "shared", "prefix", "members"),
-        "bundles",
+        placed.join(crowded, "bundle").select("bundle", "node", "n", "shared", "members"), "bundles"
     )
 
     links = None
@@ -245,36 +281,34 @@ def near_duplicates(
         if members.select("node").join(done, "node", "left_anti").isEmpty():
             break
 
-    # What is still in different parts of a bundle: every pair, except inside its largest part.
+    # What is still in different parts of a bundle is compared, except inside its largest part: the
+    # members outside that part, in chunks, against all members, in pieces.
     labels = components(links.select("a", "b"))
-    parts = members.select("bundle", "node", "n", "prefix").join(labels, "node", "left")
+    parts = members.select("bundle", "node").join(labels, "node", "left")
     parts = parts.withColumn("label", F.coalesce("label", "node"))
     sizes = parts.groupBy("bundle", "label").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("bundle").agg(
-        F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("parts")
-    )
-    open_parts = materialise(
-        _keys(
-            parts.join(largest.where("parts > 1"), "bundle").withColumn(
-                "small", F.col("label") != F.col("largest")
-            ),
-            percent, "bundle", "node", "label", "small",
-        ),
-        "parts",
-    )
-    left = open_parts.where("small").select(
-        "bundle", "token", "g", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")
-    )
-    pairs = (
-        left.join(open_parts, ["bundle", "token", "g"])
-        .where(f"label <> label_a AND (NOT small OR a < node) AND {_sized(percent, 'n', 'n_a')}")
-        .select("a", F.col("node").alias("b"))
-        .distinct()
+    totals = sizes.groupBy("bundle").agg(
+        F.max_by("label", F.struct("c", "label")).alias("largest"),
+        F.ceil(F.sum("c") / PIECE_SETS).cast("int").alias("pieces"),
+        F.ceil((F.sum("c") - F.max("c")) / CHUNK_SETS).cast("int").alias("chunks"),
     )
-    sets = members.select("node", "members")
-    checked = _verified(
-        pairs.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b"), percent
+    placed = parts.join(totals.where("chunks > 0"), "bundle").withColumns(
+        {
+            "chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"),
+            "piece": F.pmod(F.xxhash64("node", "bundle"), F.col("pieces")).cast("int"),
+        }
     )
+    placed = materialise(placed.join(members.select("node", "members"), "node"), "parts")
+
+    def spread(rows: DataFrame, column: str, number: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(number) - 1)).alias(column)
+        own = "piece" if column == "chunk" else "chunk"
+        return rows.select("bundle", own, every, "node", "label", "members")
+
+    key = ["bundle", "chunk", "piece"]
+    outside = spread(placed.where("label <> largest"), "piece", "pieces").groupBy(*key)
+    inside = spread(placed, "chunk", "chunks").groupBy(*key)
+    checked = outside.cogroup(inside).applyInArrow(_compare(percent), "a long, b long")
     links = links.unionByName(materialise(checked, "links")).select("a", "b")
 
     labels = components(links)
