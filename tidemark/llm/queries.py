@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, language, pii, quality, unigram
 from tidemark.llm.decontaminate import find_items
 from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next
+from tidemark.llm.lm import score_texts
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.substrings import remove_repeats
 
@@ -206,3 +207,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("pii")).alias("spans"),
     )
+
+
+@query()
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~_part(5, 1)).alias("train"))
+    return score_texts(docs, "train").select(
+        "doc_id", _part(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
