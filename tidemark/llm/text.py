@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer single text is one piece.
-PIECE = 4 << 20
+PIECE = 2 << 20
+#: Bytes that are hashed at once; a running hash takes some 40 bytes of memory for each.
+HASH_PIECE = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +105,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     i = 0
     while i < len(starts):
         base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, base + HASH_PIECE, "right")))
         part = _BYTE_VALUE[data[base : ends[j - 1]]]
         running = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * _powers(_ODD, len(part)), out=running[1:])
