@@ -238,3 +238,27 @@ def test_large_files_are_split(spark, exports, strict, monkeypatch):
     assert outcomes(split.report, exports) == outcomes(whole.report, exports)
     rows = [sorted(map(tuple, i.rows(RESPONSES_TABLE).collect()), key=repr) for i in (whole, split)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_organize_decides_per_class(spark, folder, write):
+    head = "class_id,student_id,chapter,page,media_id,access_count\n"
+    write(f"{folder}/in/x/media_views.csv", head + "c1,s,1,1,m1,1\n", age=100)
+    organize_exports(spark, [f"{folder}/in"], f"{folder}/out", policy="all")
+    write(f"{folder}/in/y/media_views.csv", head + "c1,s,1,1,m2,1\n", age=-10**9)
+    report = organize_exports(spark, [f"{folder}/in"], f"{folder}/out", policy="all")
+    assert {r.outcome for r in report.collect()} == {"load"}
+    laid = spark.read.option("header", True).csv(f"{folder}/out/media_views.csv")
+    assert sorted(r.media_id for r in laid.collect()) == ["m1", "m2"]
+    os.utime(f"{folder}/in/y/media_views.csv", (1_000_000_000,) * 2)
+    report = organize_exports(spark, [f"{folder}/in"], f"{folder}/out", policy="all")
+    assert {r.outcome for r in report.collect()} == {"skip"}
+
+
+def test_rejects_of_several_batches(spark, folder, write):
+    head = "class_id,student_id,chapter,page,media_id,access_count\n"
+    write(f"{folder}/in/media_views.csv", head + "c,s,1,1,m2,many\n")
+    for batch in ("one", "two", "two"):
+        compress_exports(
+            spark, [f"{folder}/in"], f"{folder}/out", rejects=f"{folder}/rejects", batch=batch
+        )
+    assert spark.read.parquet(f"{folder}/rejects/media_views").count() == 2

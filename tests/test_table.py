@@ -99,3 +99,21 @@ def test_stream(spark, folder, write):
     write(f"{root}/c/visits.csv", "class_id,id\nc1,3\nc2,4\n", age=10)  # two classes: rejected
     write(f"{root}/d/visits.csv", "class_id,id,n\nc1,1,7\n", age=5)
     assert run() == (4, [(1, 7), (2, 2), (3, 2)])
+
+
+def test_without_keys_rows_are_distinct(spark, folder):
+    path = f"{folder}/t"
+    some = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (None, 2, "b")], ROWS)
+    merge_into(some, path, [])
+    more = spark.createDataFrame([(1, 1, "a"), (None, 2, "b"), (1, 1, None)], ROWS)
+    for _ in range(2):
+        merge_into(more, path, [], ["at"])
+    assert rows(read_table(spark, path)) == [(1, 1, "a"), (1, 1, None), (None, 2, "b")]
+
+
+def test_a_crashed_commit_is_no_obstacle(spark, folder):
+    path = f"{folder}/t"
+    merge_into(spark.createDataFrame([(1, 1, "a")], ROWS), path, ["k"])
+    os.makedirs(f"{path}/commits/00000002/_temporary/0")
+    assert merge_into(spark.createDataFrame([(2, 1, "b")], ROWS), path, ["k"]) == 2
+    assert rows(read_table(spark, path)) == [(1, 1, "a"), (2, 1, "b")]

@@ -19,8 +19,10 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 
 def dedup_any(df: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """One row per key, no say in which. NULL keys are equal to each other."""
-    return df.dropDuplicates(list(keys))
+    """One row per key, no say in which. NULL keys are equal to each other. Without keys the whole
+    row is the key."""
+    keys = list(keys)
+    return df.dropDuplicates(keys) if keys else df.distinct()
 
 
 def dedup_latest(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -> DataFrame:
@@ -29,9 +31,12 @@ def dedup_latest(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -
     lower than any value, and NULL keys are equal to each other.
 
     The whole row is one ``max`` over a struct. Spark aggregates it inside each task before the
-    shuffle, so a key that holds a third of all rows sends one row per task.
+    shuffle, so a key that holds a third of all rows sends one row per task. Without keys the whole
+    row is the key.
     """
     keys, latest_by = list(keys), list(latest_by)
+    if not keys:
+        return df.distinct()
     rest = [f for f in df.schema if f.name not in keys and f.name not in latest_by]
     ordered = latest_by + [f.name for f in rest if not isinstance(f.dataType, _UNORDERED)]
     unordered = [f.name for f in rest if isinstance(f.dataType, _UNORDERED)]
@@ -50,7 +55,9 @@ def dedup_latest(df: DataFrame, keys: Iterable[str], latest_by: Iterable[str]) -
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str) -> DataFrame:
-    """Semi or anti join of ``left`` with the keys of ``right``; NULL keys match each other."""
+    """Semi or anti join of ``left`` with the keys of ``right``; NULL keys match each other. Without
+    keys whole rows are compared; both sides then have the same columns."""
+    keys = list(keys) or left.columns
     other = right.select([F.col(key).alias(f"_r_{key}") for key in keys])
     condition = None
     for key in keys:
@@ -72,5 +79,7 @@ def merge_keep_stored(stored: DataFrame, new: DataFrame, keys: Iterable[str]) ->
     ``stored`` must already be unique by key. Only its key columns enter the join.
     """
     keys = list(keys)
+    if not keys:
+        return diagonal_union(stored, new).distinct()
     added = match_keys(dedup_any(new, keys), stored, keys, "left_anti")
     return diagonal_union(stored, added)

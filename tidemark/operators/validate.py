@@ -14,7 +14,6 @@ MANY_CLASSES = "many_classes"
 NO_CLASS = "no_class_id"
 UNKNOWN_COLUMN = "unknown_column"
 UNKNOWN_FORMAT = "unknown_format"
-TOO_LARGE = "too_large"
 
 
 def column_check(header: Column, contract: Contract) -> Column:

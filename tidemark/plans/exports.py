@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import replace
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from tidemark.operators.dedup import dedup_latest
 from tidemark.operators.report import reconcile
 from tidemark.plans.inspect import Inspection, inspect
 from tidemark.plans.table import merge_into, read_table
+from tidemark.scratch import materialise
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
 from tidemark.sources.catalogue import list_files
 
@@ -35,14 +38,18 @@ def with_source(contract: Contract) -> Contract:
     return replace(contract, schema=schema)
 
 
-def typed_rows(found: Inspection, contract: Contract, rejects: str | None = None) -> DataFrame:
+def typed_rows(
+    found: Inspection, contract: Contract, rejects: str | None = None, batch: str | None = None
+) -> DataFrame:
     """Chosen rows in contract types plus their source. Text of a wrong type fails the job or, given
     a ``rejects`` folder, is written there with the names of the failed columns."""
     rows = found.rows(contract)
     if rejects is None:
         return conform(rows, with_source(contract))
     good, bad = split_failed(rows, with_source(contract))
-    write_parquet(bad, f"{rejects}/{contract.name}")
+    # A folder per batch: the next one adds to it, a replayed one writes the same again.
+    run = quote(batch or uuid.uuid4().hex, safe="")
+    write_parquet(bad, f"{rejects}/{contract.name}/run={run}", mode="overwrite")
     return good
 
 
@@ -71,9 +78,11 @@ def compress_exports(
     for contract in contracts:
         if contract.name not in found.staged:
             continue
-        rows = typed_rows(found, contract, rejects)
+        rows = typed_rows(found, contract, rejects, batch)
         target = f"{output}/{contract.name}"
-        if keep == "latest":
+        if not contract.keys:
+            merge_into(rows.drop(*SOURCE), target, [], batch=batch)
+        elif keep == "latest":
             merge_into(rows, target, contract.keys, NEWEST, batch=batch)
         else:
             newest = dedup_latest(rows, contract.keys, NEWEST)
@@ -91,11 +100,13 @@ def organize_exports(
 ) -> DataFrame:
     """Lay exports out per class as ``<output>/<type>.csv/class=<id>/`` and return the load report.
 
-    A class that is there already is replaced only by a newer file. Tables about many classes are
+    A class that is there already is replaced only if one of its chosen files is newer, and then by all
+    of them; the files of other classes are reported as ``skip``. Tables about many classes are
     merged by key into the stored table ``<output>/<type>``, of which ``<output>/<type>.csv`` is a
     copy. Validation is always strict.
     """
     found = inspect(spark, roots, contracts, "strict", policy, multiline)
+    skipped = None
     for contract in contracts:
         if contract.name not in found.staged:
             continue
@@ -103,7 +114,10 @@ def organize_exports(
         target = f"{output}/{contract.name}.csv"
         if contract.multi_class:
             # The copy is overwritten, but never read for the next merge.
-            merge_into(rows, f"{output}/{contract.name}", contract.keys, NEWEST)
+            if contract.keys:
+                merge_into(rows, f"{output}/{contract.name}", contract.keys, NEWEST)
+            else:
+                merge_into(rows.drop(*SOURCE), f"{output}/{contract.name}", [])
             merged = read_table(spark, f"{output}/{contract.name}")
             write_csv(merged.drop(*SOURCE), target, mode="overwrite")
             continue
@@ -112,12 +126,19 @@ def organize_exports(
             files = found.report.filter(
                 (F.col("type") == contract.name) & (F.col("outcome") == "load")
             )
-            fate = newer_than_stored(files.select("unit", "class_id", "modified"), stored, "class_id")
-            older = fate.filter(F.col("outcome") == "skip").select(F.col("unit").alias(SOURCE_FILE))
-            rows = rows.join(older, SOURCE_FILE, "left_anti")
+            classes = files.groupBy("class_id").agg(F.max("modified").alias("modified"))
+            fate = newer_than_stored(classes, stored, "class_id").filter(F.col("outcome") == "skip")
+            # Written before the layout changes, which it is compared with.
+            older = materialise(fate.select(F.lit(contract.name).alias("type"), "class_id"), "skipped")
+            rows = rows.join(older.select(F.col("class_id").alias(SOURCE_CLASS)), SOURCE_CLASS, "left_anti")
+            skipped = older if skipped is None else skipped.unionAll(older)
         rows = rows.withColumnRenamed(SOURCE_CLASS, "class").drop(*SOURCE)
         write_per_class(rows, target, mode="overwrite", replace_classes=True)
-    return found.report
+    if skipped is None:
+        return found.report
+    marked = found.report.join(skipped.withColumn("_skip", F.lit(True)), ["type", "class_id"], "left")
+    outcome = F.when(F.col("_skip") & (F.col("outcome") == "load"), "skip").otherwise(F.col("outcome"))
+    return marked.withColumn("outcome", outcome).select(*found.report.columns)
 
 
 def find_orphans(

@@ -79,7 +79,8 @@ def _commit(
         added.write.parquet(f"{path}/data/{parts[-1]}")
     row = (version, batch, parts, schema.json())
     log = spark.createDataFrame([row], COMMIT).coalesce(1)
-    log.write.json(f"{path}/commits/{version:08d}")
+    # A name of its own for each attempt: what a job that died has left stands in nobody's way.
+    log.write.json(f"{path}/commits/{version:08d}-{uuid.uuid4().hex[:8]}")
     return version
 
 
@@ -95,13 +96,15 @@ def merge_into(
 
     Without ``latest_by`` stored rows stay and only rows with new keys are appended: the stored data
     is not rewritten, and only its key columns are read. With ``latest_by`` the row with the
-    highest values in these columns wins, wherever it is. Then only stored rows whose key occurs in ``new`` are compared; the others
-    are copied without a shuffle whenever the new keys are few enough for Catalyst to broadcast.
+    highest values in these columns wins, wherever it is. Then only stored rows whose key occurs in
+    ``new`` are compared; the others are copied without a shuffle whenever the new keys are few enough
+    for Catalyst to broadcast. Without keys the whole row is the key: the table holds distinct rows.
 
     ``unique`` says that ``new`` has one row per key already. A ``batch`` that has been committed already is left alone, so a replayed batch changes nothing.
     """
     spark, keys = new.sparkSession, list(keys)
-    latest_by = None if latest_by is None else list(latest_by)
+    whole = not keys
+    latest_by = None if latest_by is None or whole else list(latest_by)
     if batch is not None and has_batch(spark, path, batch):
         return version_of(spark, path)
     if unique:
@@ -120,6 +123,8 @@ def merge_into(
     schema = union_schema(stored.schema, fresh.schema)
     retyped = any(schema[f.name].dataType != f.dataType for f in stored.schema)
     stored, fresh = fit(stored, schema), fit(fresh, schema)
+    if whole:
+        keys = schema.names
     version = current.version + 1
     if fresh.isEmpty() and not retyped:
         return _commit(spark, path, version, batch, current.parts, None, schema)

@@ -139,6 +139,18 @@ def stored_merge_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path)
 
 
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem")
+def merge_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without keys holds distinct rows; merging the same rows again changes nothing."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_quantity", "l_discount"
+    )
+    path = scratch_path(spark, "keyless")
+    for batch in (rows.where("l_quantity < 30"), rows.where("l_quantity > 20"), rows):
+        merge_into(batch, path, [])
+    return read_table(spark, path)
+
+
 @query("""
     SELECT * FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
@@ -609,7 +621,7 @@ def load_latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").selectExpr(
         "s_acctbal AS balance", "s_nationkey AS nation", "s_suppkey AS id"
     )
-    write_csv(suppliers.unionAll(suppliers).coalesce(1), f"{root}/b/accounts.csv")
+    write_csv(suppliers.unionAll(suppliers).repartition("id"), f"{root}/b/accounts.csv")
     return load_latest(spark, [root], contract)
 
 

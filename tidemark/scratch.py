@@ -26,7 +26,7 @@ def materialise(
     session: SparkSession | None = None,
 ) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, and later steps see real sizes."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(session or df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
