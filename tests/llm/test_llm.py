@@ -21,6 +21,7 @@ from tidemark.llm.decontaminate import count_items, find_items  # noqa: E402
 from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next  # noqa: E402
 from tidemark.llm.pretokens import character_classes, pretoken_spans  # noqa: E402
 from tidemark.llm.queries import BYTE_BPE, ORACLES, QUERIES  # noqa: E402
+from tidemark.llm.samples import labelled_sample  # noqa: E402
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -325,6 +326,21 @@ def test_held_out_accuracy(spark):
     assert sum(r.quality == r.predicted for r in rows) > 0.9 * len(rows)
 
 
+def test_labels_in_a_table_of_their_own(spark):
+    rows = [(i, "ab" * (i % 7) + str(i)) for i in range(40)] + [(3, "ababab3"), (None, "x"), (41, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(
+        [(i, i % 2) for i in range(20)] + [(3, 0), (None, 1), (41, 1), (99, 0), (5, None)],
+        "doc_id long, quality int",
+    )
+    apart = labelled_sample(texts, "quality", 100, 1, 50, labels=marks)
+    whole = {(str(i % 2), dict(rows[:40])[i]) for i in range(20)} | {("0", "ababab3")}
+    assert len(apart) == len(set(apart)) and set(apart) == whole
+    assert apart == labelled_sample(texts.join(marks, "doc_id"), "quality", 100, 1, 50)
+    few = labelled_sample(texts, "quality", 4, 1, 50, labels=marks)
+    assert [sum(a == b for a, _ in few) for b in "01"] == [4, 4] and set(few) <= whole
+
+
 def test_models_without_labels(spark, docs, nothing):
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang", "1 AS score")
     rows = language.predict(unlabelled, language.train(unlabelled)).collect()

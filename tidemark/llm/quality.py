@@ -118,9 +118,16 @@ def fit(sample: list[tuple[str, str]], epochs: int = 12, seed: int = 5) -> dict
     return p
 
 
-def train(docs: DataFrame, label: str, per_label: int = 600, chars: int = 6000) -> dict | None:
-    """A model from at most ``per_label`` documents of each label (0, 1), ``chars`` of each."""
-    return fit(labelled_sample(docs, label, per_label, 1, chars))
+def train(
+    docs: DataFrame,
+    label: str,
+    per_label: int = 600,
+    chars: int = 6000,
+    labels: DataFrame | None = None,
+) -> dict | None:
+    """A model from at most ``per_label`` documents of each label (0, 1), ``chars`` of each. The labels
+    are a column of ``docs``, or of the table ``labels`` with the same ``doc_id``."""
+    return fit(labelled_sample(docs, label, per_label, 1, chars, labels=labels))
 
 
 def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:

@@ -186,8 +186,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", _part(3, 1))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    learnt = docs.where("NOT held_out").join(labels, "doc_id")
-    return quality.predict(docs, quality.train(learnt, "quality")).select(
+    model = quality.train(docs.where("NOT held_out"), "quality", labels=labels)
+    return quality.predict(docs, model).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
