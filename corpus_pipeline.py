@@ -15,12 +15,23 @@ from tidemark.scratch import materialise
 #: a quarter among four languages, so texts in two of them stay.
 LEAST_SCORE = 0.3
 
+#: Bytes of rows that Spark hands to Python at once, unless the session says otherwise. Spark counts
+#: rows alone by default, and ten thousand long texts take much memory outside its heap.
+BATCH_BYTES = "4m"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, BATCH_BYTES)
+
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with :data:`LEAST_SCORE`; a missing ``lang`` is filled in.
 
     Texts that are null or have no letter go.
     """
+    _bound_batches(spark)
     model = language.train(docs.where("doc_id IS NOT NULL"))
     known = language.predict(docs, model).where(
         (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
@@ -30,6 +41,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each class; of repeated rows, one. Rows without an id stay."""
+    _bound_batches(spark)
     classes = near_duplicates(docs).where("doc_id IS NOT NULL")
     act = classes.groupBy("doc_id").agg(
         F.min("component_id").alias("least"), F.count("*").alias("copies")
@@ -45,6 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _bound_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return count_items(docs, items).where("n_items = 0").select(*docs.columns)
 
@@ -59,7 +72,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether they decode to its text again."""
-    coded = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)
+    _bound_batches(spark)
+    coded = bpe.encode(docs, BYTE_BPE, spelled=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select(
         "doc_id", "lang", "source", "n_chars",

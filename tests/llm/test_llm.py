@@ -106,7 +106,11 @@ def test_bpe_equals_tiktoken(spark, docs, nothing):
         for row in coded:
             assert row["ids"] == library.encode_ordinary(row.text or "")
             assert bytes(row.decoded) == (row.text or "").encode()
+    once = bpe.encode(docs, BYTE_BPE, spelled=True).select("doc_id", "ids", "decoded")
+    twice = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE).select("doc_id", "ids", "decoded")
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     assert bpe.decode(bpe.encode(nothing, BYTE_BPE), BYTE_BPE).count() == 0
+    assert bpe.encode(nothing, BYTE_BPE, spelled=True).count() == 0
     assert [r.decoded for r in bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), BYTE_BPE).collect()] == [b""]
 
 

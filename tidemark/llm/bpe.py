@@ -180,8 +180,31 @@ class Memory:
         return self.flat[np.repeat(self.offsets[place] - ends + sizes, sizes) + np.arange(total)]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, an array of the ids of the whole text."""
+def speller(tokens: list[bytes]) -> Callable[[np.ndarray, np.ndarray], pa.Array]:
+    """What turns (ids, bounds of the rows among them) into the bytes of each row."""
+    blob = np.frombuffer(b"".join(tokens), np.uint8)
+    ends = np.cumsum([len(t) for t in tokens])
+    sizes = np.diff(ends, prepend=0)
+    begins = ends - sizes
+
+    def spell(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+            raise ValueError("an id is outside the vocabulary")
+        length = sizes[ids]
+        stop = np.append(0, np.cumsum(length))
+        at = np.repeat(begins[ids] - stop[:-1], length) + np.arange(stop[-1])
+        offsets = stop[bounds].astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(blob[at])]
+        return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)
+
+    return spell
+
+
+def encode(
+    docs: DataFrame, vocabulary: str, text: str = "text", spelled: bool = False
+) -> DataFrame:
+    """``docs`` with ``ids``, an array of the ids of the whole text. With ``spelled``, the ids are
+    decoded in the same pass, to ``decoded`` as :func:`decode` gives it."""
     tokens = read_ranks(vocabulary)
     keys = hash_tokens(tokens)
     shared = docs.sparkSession.sparkContext.broadcast(
@@ -200,20 +223,19 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
             ]
 
         memory = Memory(work)
+        spell = speller(tokens) if spelled else None
 
         def make(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
             starts, ends, firsts = pretoken_spans(data, offsets, classes)
             place, sizes = memory.lists(data, starts, ends)
             bounds = np.append(0, np.cumsum(sizes))[firsts]
-            return [
-                pa.ListArray.from_arrays(
-                    pa.array(bounds, pa.int32()), pa.array(memory.gather(place, sizes))
-                )
-            ]
+            flat = memory.gather(place, sizes)
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+            return [ids, spell(flat, bounds)] if spell else [ids]
 
         return make
 
-    return rows.add_columns(docs, text, "ids array<int>", start)
+    return rows.add_columns(docs, text, "ids array<int>" + ", decoded binary" * spelled, start)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -225,25 +247,13 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
-        blob = np.frombuffer(b"".join(tokens), np.uint8)
-        ends = np.cumsum([len(t) for t in tokens])
-        sizes = np.diff(ends, prepend=0)
-        begins = ends - sizes
+        spell = speller(shared.value)
         for whole in batches:
             counts = whole.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in tx.pieces(np.append(0, np.cumsum(counts)), tx.PIECE // 8):
                 batch = whole.slice(a, b - a)
                 flat = batch.column(ids).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(tokens)):
-                    raise ValueError("an id is outside the vocabulary")
-                length = sizes[flat]
-                stop = np.append(0, np.cumsum(length))
-                at = np.repeat(begins[flat] - stop[:-1], length) + np.arange(stop[-1])
-                bounds = stop[np.append(0, np.cumsum(counts[a:b]))].astype(np.int32)
-                out = pa.Array.from_buffers(
-                    pa.binary(), b - a, [None, pa.py_buffer(bounds), pa.py_buffer(blob[at])]
-                )
+                out = spell(flat, np.append(0, np.cumsum(counts[a:b])))
                 arrays = [batch.column(batch.schema.names.index(c)) for c in given]
                 yield pa.RecordBatch.from_arrays([*arrays, out], names)
 
