@@ -34,29 +34,62 @@ def _write_random(path, rng, columns, rows, line_end="\n"):
     return made
 
 
-@pytest.mark.parametrize("split_bytes", [delimited.SPLIT_BYTES, 0])
-def test_matches_the_csv_module(spark, folder, split_bytes):
-    """Different headers, any text; whole-file and split reading agree with Python's reader."""
+def test_matches_the_csv_module(spark, folder):
+    """Different headers, any text, whatever the size of splits: as Python's reader has it."""
     rng, made = random.Random(5), []
     for i, columns in enumerate([["id", "text", "note"], ["note", "ratio", "text", "flag", "id"]]):
         made += _write_random(f"{folder}/{i}.csv", rng, columns, 300)
     try:
-        # Small splits, so that records run over their ends.
+        # Small splits, which records would run over.
         spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        rows = delimited.read_csv(spark, [folder], CONTRACT, split_bytes=split_bytes).collect()
+        rows = delimited.read_csv(spark, [folder], CONTRACT).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(map(tuple, rows), key=repr) == sorted(made, key=repr)
 
 
-def test_split_reading_of_windows_line_ends(spark, folder):
+def test_windows_line_ends(spark, folder):
     made = _write_random(f"{folder}/a.csv", random.Random(6), ["id", "ratio", "flag"], 100, "\r\n")
-    rows = delimited.read_csv(spark, [folder], CONTRACT, split_bytes=0).collect()
+    rows = delimited.read_csv(spark, [folder], CONTRACT).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted(made, key=repr)
 
 
+def test_ragged_rows_are_not_cut(spark, folder, write):
+    write(f"{folder}/a.csv", "id,text\n1,a,EXTRA\n2,b,\n3\n")
+    write(f"{folder}/b.csv", "text,id,note\nc,4,n\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        delimited.read_csv(spark, [folder], CONTRACT).collect()
+    with pytest.raises(Exception, match="more cells than the header"):
+        delimited.read_csv(spark, [folder], CONTRACT).count()
+    rows = delimited.read_csv(spark, [folder], CONTRACT, lenient=True).select("id", "text", "note")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", None), (2, "b", None), (3, None, None), (4, "c", "n")]
+
+
+def test_stray_quotes_do_not_depend_on_splits(spark, folder, write):
+    write(f"{folder}/t.csv", 'id,text\n1,5" pipe\n2,x\n3,y\n')
+    got = []
+    for size in ("8", "1000000"):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = delimited.read_csv(spark, [folder], CONTRACT).select("id", "text").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got.append(sorted(map(tuple, rows)))
+    assert got == [[(1, '5" pipe'), (2, "x"), (3, "y")]] * 2
+
+
+def test_wide_headers_outside_the_contract(spark, folder, write):
+    junk = ",".join(f"j{i}" for i in range(21_000))
+    write(f"{folder}/wide.csv", f"id,{junk}\n1,{junk}\n")
+    write(f"{folder}/t.csv", "text,id\nx,2\n")
+    rows = delimited.positional_rows(spark, [folder], 3, lambda path: path.endswith("/t.csv"))
+    assert rows.count() == 1
+    headers = delimited.read_headers(spark, [folder])
+    assert delimited.reach(headers, CONTRACT) == 3
+
+
 def test_headers(spark, folder, write):
     write(f"{folder}/plain/t.csv", "id,text\n1,id\n")
     write(f"{folder}/quoted bom/t.csv", '﻿"id","flag"\r\n1,true\r\n')

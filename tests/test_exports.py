@@ -231,13 +231,15 @@ def test_many_files_go_by_buckets(spark, exports, everything, monkeypatch):
         assert rows[0] == rows[1] and rows[0]
 
 
-def test_large_files_are_split(spark, exports, strict, monkeypatch):
-    whole = strict
-    monkeypatch.setattr("tidemark.sources.delimited.SPLIT_BYTES", 100)
-    split = inspect(spark, [exports])
-    assert outcomes(split.report, exports) == outcomes(whole.report, exports)
-    rows = [sorted(map(tuple, i.rows(RESPONSES_TABLE).collect()), key=repr) for i in (whole, split)]
-    assert rows[0] == rows[1] and rows[0]
+def test_files_with_ragged_rows_are_rejected(spark, folder, write):
+    head = "class_id,student_id,chapter,page,media_id,access_count\n"
+    write(f"{folder}/a/media_views.csv", head + "c1,s,1,1,m1,1\nc1,s,1,1,m2,1,more\n")
+    write(f"{folder}/b/media_views.csv", head + "c2,s,1,1,m1,1\nc2,s,1,1,m2,\n")
+    for validation in ("strict", "fast"):
+        found = inspect(spark, [folder], validation=validation)
+        got = {r.unit.rsplit("/", 2)[1]: r.outcome for r in found.report.collect()}
+        assert got == {"a": "rejected:ragged_row", "b": "load"}
+        assert found.rows(MEDIA_VIEWS).count() == 2
 
 
 def test_organize_decides_per_class(spark, folder, write):

@@ -25,12 +25,13 @@ from tidemark.sources.catalogue import describe_files, may_be_file_of, list_file
 
 NO_SIBLING = "no_sibling_data"
 WRONG_TYPE = "wrong_type"
+RAGGED = "ragged_row"
 
 
 @dataclass(frozen=True)
 class Inspection:
     """``report``: one row per file, with ``class_id`` and ``outcome``. ``files``: which paths make
-    up each of them (``unit``). ``staged``: per table, the text rows of all files whose columns are known, with ``path``, ``row_no`` and ``bucket``."""
+    up each of them (``unit``). ``staged``: per table, the text rows of all files whose columns are known, with ``path``, ``row_no``, ``bucket`` and ``ragged``."""
 
     report: DataFrame
     staged: dict[str, DataFrame]
@@ -54,7 +55,7 @@ class Inspection:
             mine = chosen.filter(delimited.bucket_of(F.col("source_file"), self.buckets) == bucket)
             staged = rows.filter(F.col("bucket") == bucket)
             parts.append(staged.join(broadcast_if_small(mine), "path"))
-        return reduce(DataFrame.unionAll, parts).drop("path", "row_no", "bucket")
+        return reduce(DataFrame.unionAll, parts).drop("path", "row_no", "bucket", "ragged")
 
 
 def inspect(
@@ -69,7 +70,8 @@ def inspect(
 
     ``validation="strict"`` wants contract columns only and one class per file (tables about many
     classes need the columns only). ``"fast"`` wants a class in the first 50 rows and looks at
-    nothing else; columns outside the contract are then ignored.
+    nothing else; columns outside the contract are then ignored. Either way a file with a row of more
+    cells than its header is rejected.
 
     ``policy`` says which of several files for one table and class is loaded: the ``"latest"``, the
     ``"first"`` by path, or ``"all"``, leaving duplicates to the row-level key.
@@ -87,7 +89,6 @@ def inspect(
     in_archive = F.col("archive_path").isNotNull()
     facts = files.groupBy("type").agg(
         F.count(F.lit(1)).alias("files"),
-        F.max(F.when(~in_archive, F.col("size"))).alias("largest"),
         F.count_if(in_archive).alias("members"),
         F.count_if(~in_archive & (F.col("format") == "parquet")).alias("parquet"),
     )
@@ -107,13 +108,11 @@ def inspect(
         )
     headers = materialise(_headers(spark, roots, parquet, cells, loaded, strict), "headers")
     usable = headers.filter(F.col("reason").isNull())
-    sizes = usable.groupBy("type").agg(
-        F.max(F.size("header")).alias("width"), F.count(F.lit(1)).alias("files")
-    )
-    sizes = {row["type"]: row for row in sizes.collect()}
+    sizes = usable.groupBy("type").agg(F.count(F.lit(1)).alias("files"))
+    sizes = {row["type"]: row["files"] for row in sizes.collect()}
     staged = {
         c.name: materialise(
-            _stage(spark, roots, cells, headers, c, multiline, facts[c.name], sizes.get(c.name), buckets),
+            _stage(spark, roots, cells, headers, c, multiline, facts[c.name], sizes.get(c.name, 0), buckets),
             c.name,
             ("bucket",),
         )
@@ -176,13 +175,12 @@ def _stage(
     contract: Contract,
     multiline: bool,
     facts: Row,
-    size: Row | None,
+    usable_files: int,
     buckets: int,
 ) -> DataFrame:
     usable = headers.filter((F.col("type") == contract.name) & F.col("reason").isNull())
     usable, keep = usable.select("path", "header"), ("path", "row_no")
     bucket = delimited.bucket_of(F.col("path"), buckets).alias("bucket")
-    large = (facts["largest"] or 0) > delimited.SPLIT_BYTES
     parts = [
         delimited.bound_rows(
             spark,
@@ -191,11 +189,9 @@ def _stage(
             contract,
             lambda path: may_be_file_of(path, [contract], "csv"),
             multiline,
-            delimited.SPLIT_BYTES if large else None,
             buckets,
             keep,
-            size["width"] if size else 1,
-            size["files"] if size else 0,
+            files=usable_files,
         )
     ]
     if facts["members"]:
@@ -210,7 +206,7 @@ def _stage(
             lambda path: may_be_file_of(path, [contract], "parquet") & ~path.isin(broken),
         )
         stored = stored.join(broadcast_if_small(usable.select("path")), "path", "left_semi")
-        parts.append(stored.select("*", bucket))
+        parts.append(stored.select("*", bucket, F.lit(False).alias("ragged")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -245,6 +241,10 @@ def _verdicts(
             one = first.groupBy("unit").agg(F.min_by("class_id", classed).alias("class_id"))
             verdict = F.when(F.col("class_id").isNull(), v.NO_CLASS).otherwise(v.OK)
             one = one.withColumn("verdict", verdict)
+        ragged = rows.filter("ragged").select("path").distinct().select(unit.alias("unit")).distinct()
+        one = one.join(ragged.withColumn("_ragged", F.lit(True)), "unit", "left")
+        verdict = F.when(F.col("_ragged"), RAGGED).otherwise(F.col("verdict"))
+        one = one.select("unit", "class_id", verdict.alias("verdict"))
         found = found.unionByName(one)
     return found
 

@@ -21,7 +21,7 @@ def load_latest(
 ) -> DataFrame:
     """The newest file of the table in each directory below ``roots``, as one typed table.
 
-    Repeated rows within a file are dropped. The columns are those of the contract that some file
+    Repeated rows within a file are dropped; a ragged row fails the job. The columns are those of the contract that some file
     has; other columns are left out.
     """
     roots = list(roots)
@@ -31,7 +31,7 @@ def load_latest(
     newest = latest_per_parent(units).select("dataset")
     files = materialise(files.join(newest, "dataset", "left_semi"), "newest")
 
-    largest, count = files.agg(F.max("size"), F.count(F.lit(1))).first()
+    count = files.count()
     headers = delimited.read_headers(spark, roots, lambda path: may_be_file_of(path, [contract], "csv"))
     headers = headers.join(files.select("path"), "path", "left_semi")
     stored = files.filter("format = 'parquet'")
@@ -45,16 +45,18 @@ def load_latest(
         headers,
         contract,
         lambda path: may_be_file_of(path, [contract], "csv"),
-        split_above=delimited.SPLIT_BYTES if (largest or 0) > delimited.SPLIT_BYTES else None,
         buckets=delimited.buckets_for(count),
     ).drop("bucket")
+    rows = delimited.refuse_ragged(rows)
     if not stored.isEmpty():
         typed = columnar.text_rows(
             spark, roots, contract, lambda path: may_be_file_of(path, [contract], "parquet")
         )
         chosen = broadcast_if_small(stored.select("path"))
         rows = rows.unionByName(typed.drop("row_no").join(chosen, "path", "left_semi"))
-    present = {r[0] for r in headers.select(F.explode("header")).distinct().collect()}
+    seen = headers.select(F.explode("header").alias("name"))
+    seen = seen.filter(F.col("name").isin(contract.names)).distinct()
+    present = {r[0] for r in seen.collect()}
     absent = [name for name in contract.names if name not in present]
     rows = rows.distinct().drop("path")
     return project(conform(rows, contract).drop(*absent), contract)

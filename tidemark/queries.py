@@ -23,7 +23,7 @@ from tidemark.operators import dedup, report, validate
 from tidemark.operators.choose import latest_per_parent, newer_than_stored, one_file_per_key
 from tidemark.operators.project import project
 from tidemark.operators.union import diagonal_union
-from tidemark.plans.exports import compress_exports
+from tidemark.plans.exports import compress_exports, organize_exports
 from tidemark.plans.inspect import inspect
 from tidemark.plans.load import load_latest
 from tidemark.plans.table import merge_into, read_table
@@ -595,12 +595,8 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = archives.list_members(list_files(spark, [root]), [contract])
     members = members.withColumn("name", paths.file_name_of(F.col("archive_path")))
     cells = materialise(archives.read_members(members.join(written, "name", "left_semi")), "cells")
-    return delimited.conform(
-        delimited.bind(
-            archives.member_rows(cells), archives.member_headers(cells), contract, keep=()
-        ),
-        contract,
-    )
+    rows = delimited.bind(archives.member_rows(cells), archives.member_headers(cells), contract)
+    return delimited.conform(delimited.refuse_ragged(rows), contract)
 
 
 @query("""
@@ -688,6 +684,61 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(dropped, "class_id", "outcome")
 
 
+@query("""
+    SELECT c_nationkey::VARCHAR AS class_id,
+      CASE WHEN bool_or(c_acctbal < -900) THEN 'rejected:ragged_row' ELSE 'load' END AS outcome
+    FROM customer GROUP BY c_nationkey
+""")
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class files in which a row about a large debt has one cell more than the header."""
+    root = scratch_path(spark, "ragged")
+    more = F.when(F.col("c_acctbal") < -900, "more")
+    line = F.concat_ws(",", "c_nationkey", "c_custkey", "c_acctbal", "c_mktsegment", more)
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("class"), F.lit(1).alias("rank"), line.alias("value")
+    )
+    header = F.lit("class_id,account_id,balance,segment").alias("value")
+    heads = rows.select("class", F.lit(0).alias("rank"), header).distinct()
+    lines = rows.unionAll(heads).repartition("class").sortWithinPartitions("class", "rank")
+    lines.drop("rank").write.partitionBy("class").text(f"{root}/accounts.csv")
+    return inspect(spark, [root], [_ACCOUNTS]).report.select("class_id", "outcome")
+
+
+_LATEST_ACCOUNTS = """
+    WITH kept AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
+    SELECT c_nationkey::VARCHAR AS class_id, c_custkey AS account_id,
+           CASE WHEN c_nationkey IN (SELECT c_nationkey FROM kept) THEN c_acctbal ELSE 0 END AS balance,
+           c_mktsegment AS segment
+    FROM customer
+    WHERE c_mktsegment <> 'HOUSEHOLD' OR c_nationkey NOT IN (SELECT c_nationkey FROM kept)
+"""
+
+
+@query(_LATEST_ACCOUNTS)
+def organize_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two drops laid out per class one after the other; the newest file of a class stays."""
+    root, output = scratch_path(spark, "exports"), scratch_path(spark, "by-class")
+    for first in (True, False):
+        _write_drop(spark, sf_dir, root, first)
+        organize_exports(spark, [root], output, [_ACCOUNTS])
+    laid = spark.read.option("header", True).schema(_ACCOUNTS.schema).csv(f"{output}/accounts.csv")
+    return laid.select("class_id", "account_id", "balance", "segment")
+
+
+@query("""
+    SELECT DISTINCT c_nationkey::VARCHAR AS class_id, 'load' AS outcome FROM customer
+""")
+def fast_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a column of no contract load after the fast check, which wants a class only."""
+    root = scratch_path(spark, "fast")
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "c_name AS holder", "c_nationkey AS class_id", "c_custkey AS account_id"
+    )
+    _write_parts(rows, f"{root}/accounts.csv", "class_id")
+    found = inspect(spark, [root], [_ACCOUNTS], validation="fast").report
+    return found.select("class_id", "outcome")
+
+
 @query(_MERGED_ACCOUNTS)
 def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two drops arrive one after the other and are merged by a file stream."""

@@ -5,6 +5,9 @@ the header of each file comes from one pass over the first lines, and a join on
 each row which cell belongs to which contract column. There is one scan per table however many
 header variants exist, no list of paths on the driver, and no shuffle of rows while the header
 table is small enough to broadcast (it is counted first).
+
+A row is *ragged* if there is text in the cell after the last one of its file's header. Its cells are
+in doubt, so such rows are never cut to fit without a word: :func:`bind` marks them.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.contracts import Contract, sql_names
 from tidemark.functions.casting import conform
@@ -27,9 +29,6 @@ from tidemark.sources.catalogue import list_files
 #: Quotes are doubled inside quoted fields, as spreadsheet tools and data frames write them.
 CSV_OPTIONS = {"header": True, "escape": '"', "enforceSchema": True, "recursiveFileLookup": True}
 
-#: A file above this size is not left to one task.
-SPLIT_BYTES = 1024 * 1024 * 1024
-
 PathFilter = Callable[[Column], Column]
 
 
@@ -84,9 +83,10 @@ def read_headers(
 
 
 def with_places(headers: DataFrame, contract: Contract) -> DataFrame:
-    """(path, places): for each contract column its 1-based place in the file, 0 if absent."""
+    """(path, places, last_place): for each contract column its 1-based place in the file, 0 if
+    absent, and the number of columns the file has."""
     places = f"transform({sql_names(contract)}, name -> int(array_position(header, name)))"
-    return headers.selectExpr("path", f"{places} AS places")
+    return headers.selectExpr("path", f"{places} AS places", "size(header) AS last_place")
 
 
 def positional_rows(
@@ -96,12 +96,13 @@ def positional_rows(
     wanted: PathFilter = everything,
     multiline: bool = True,
     numbered: bool = False,
-    also: Column | None = None,
 ) -> DataFrame:
     """(path, [row_no], cells) of whole files; ``row_no`` rises within each file.
 
-    ``multiline`` allows line breaks inside quotes and keeps each file in one task. Switch it off
-    for exports without such breaks, and Spark splits large files by itself.
+    ``multiline`` allows line breaks inside quotes and streams each file through one task, however
+    large it is: where a record starts depends on all quotes before it. Switch it off for exports
+    without such breaks, and Spark splits large files by itself. Nothing else decides between the
+    two, neither the size of a file nor that of the cluster.
     """
     names = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
@@ -110,112 +111,12 @@ def positional_rows(
         .options(**CSV_OPTIONS, multiLine=multiline)
         .csv(list(roots))
         .filter(wanted(F.col("_metadata.file_path")))
-        .filter(F.lit(True) if also is None else also)
     )
     number = ["monotonically_increasing_id() AS row_no"] if numbered else []
     cells = f"array({', '.join(names)}) AS cells"
     return rows.selectExpr("_metadata.file_path AS path", *number, cells)
 
 
-def split_rows(
-    spark: SparkSession,
-    roots: Iterable[str],
-    width: int,
-    wanted: PathFilter = everything,
-    also: Column | None = None,
-) -> DataFrame:
-    """(path, row_no, cells) of files too large for one task, line breaks inside quotes included.
-
-    The file is read as lines, which Spark splits. A line starts a record if an even number of
-    quotes precedes it in the file: the sum over earlier splits, from a small table, plus a running
-    sum inside the split. Records of one line go straight to the parser; only the lines of longer
-    records are brought together, record by record.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    in_split = Window.partitionBy("path", "split").orderBy("line_no")
-    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    splits_before = (
-        Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-    lines = (
-        spark.read.options(lineSep="\n", recursiveFileLookup=True)
-        .text(list(roots))
-        .filter(wanted(F.col("_metadata.file_path")))
-        .filter(F.lit(True) if also is None else also)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("line_no"),
-            "value",
-            quotes.alias("quotes"),
-        )
-    )
-    totals = lines.groupBy("path", "split").agg(F.sum("quotes").alias("quotes"))
-    opening = F.coalesce(F.sum("quotes").over(splits_before), F.lit(0))
-    openings = materialise(totals.select("path", "split", opening.alias("opening")), "openings")
-
-    # A line takes at least one byte, so this position rises through the whole file.
-    position = F.col("split") + F.row_number().over(in_split) - 1
-    odd_before = (F.col("opening") + F.sum("quotes").over(so_far) - F.col("quotes")) % 2
-    placed = (
-        lines.join(broadcast_if_small(openings), ["path", "split"])
-        .withColumns({"position": position, "starts": odd_before == 0})
-        .withColumn("record", F.max(F.when(F.col("starts"), F.col("position"))).over(so_far))
-        .select("path", "split", "position", "record", "starts", "quotes", "value")
-    )
-    placed = materialise(placed, "lines")
-
-    last = placed.groupBy("path", "split").agg(F.max("record").alias("record"))
-    running_in = last.select("path", "split", F.max("record").over(splits_before).alias("running_in"))
-    whole = F.col("starts") & (F.col("quotes") % 2 == 0)
-    blank = F.col("value").isin("", "\r")
-    single = placed.filter(whole & ~blank).select("path", "record", "value")
-    parts = F.array_sort(F.collect_list(F.struct("position", "value")))
-    broken = (
-        placed.filter(~whole)
-        .join(broadcast_if_small(materialise(running_in, "starts")), ["path", "split"])
-        .withColumn("record", F.coalesce("record", "running_in"))
-        .groupBy("path", "record")
-        .agg(F.array_join(parts["value"], "\n").alias("value"))
-    )
-    header = (
-        placed.filter((F.col("split") == 0) & ~blank)
-        .groupBy("path")
-        .agg(F.min("position").alias("header"))
-    )
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    record = F.regexp_replace("value", "\r$", "")
-    cells = F.from_csv(record, schema, {"escape": '"', "multiLine": "true"})
-    return (
-        single.unionAll(broken)
-        .join(broadcast_if_small(materialise(header, "header-lines")), "path")
-        .filter(F.col("record") > F.col("header"))
-        .select("path", F.col("record").alias("row_no"), cells.alias("c"))
-        .select("path", "row_no", F.expr(f"array({', '.join(f'c.c{i}' for i in range(width))})").alias("cells"))
-    )
-
-
-def csv_rows(
-    spark: SparkSession,
-    roots: Iterable[str],
-    width: int,
-    wanted: PathFilter = everything,
-    multiline: bool = True,
-    numbered: bool = False,
-    split_above: int | None = None,
-) -> DataFrame:
-    """(path, [row_no], cells) of all wanted files. Those larger than ``split_above`` bytes are
-    split, the others read whole. Without it, or without ``multiline``, there is one scan."""
-    if split_above is None or not multiline:
-        return positional_rows(spark, roots, width, wanted, multiline, numbered)
-    # On file sizes, too, Spark applies the condition to the listing.
-    size = F.col("_metadata.file_size")
-    small = positional_rows(spark, roots, width, wanted, True, numbered, size <= split_above)
-    rows = split_rows(spark, roots, width, wanted, size > split_above)
-    return small.unionByName(rows if numbered else rows.drop("row_no"))
-
-
 def bind(
     rows: DataFrame,
     headers: DataFrame,
@@ -223,8 +124,8 @@ def bind(
     keep: Sequence[str] = ("path",),
     files: int | None = None,
 ) -> DataFrame:
-    """Rows of (path, cells) as ``keep`` plus one text column per contract column, in its order.
-    Rows of files that ``headers`` lacks are left out.
+    """Rows of (path, cells) as ``keep``, one text column per contract column, in its order, and
+    ``ragged``. Rows of files that ``headers`` lacks are left out.
 
     ``headers`` (path, header) must be materialised: its rows are counted, unless the number of
     ``files`` is given.
@@ -236,7 +137,15 @@ def bind(
         f"try_element_at(cells, nullif(places[{i}], 0)) AS `{name}`"
         for i, name in enumerate(contract.names)
     ]
-    return joined.selectExpr(*keep, *cells)
+    ragged = "try_element_at(cells, last_place + 1) IS NOT NULL AS ragged"
+    return joined.selectExpr(*keep, *cells, ragged)
+
+
+def refuse_ragged(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`bind` without ``ragged``; a ragged row fails the job."""
+    message = F.concat(F.lit("a row has more cells than the header of its file, "), F.col("path"))
+    fine = F.when(F.col("ragged"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return rows.filter(fine).drop("ragged")
 
 
 def bucket_of(path: Column, buckets: int) -> Column:
@@ -251,33 +160,35 @@ def bound_rows(
     contract: Contract,
     wanted: PathFilter = everything,
     multiline: bool = True,
-    split_above: int | None = None,
     buckets: int = 1,
     keep: Sequence[str] = ("path",),
     width: int | None = None,
     files: int | None = None,
 ) -> DataFrame:
-    """:func:`csv_rows` bound by :func:`bind`, with ``bucket``.
+    """:func:`positional_rows` bound by :func:`bind`, with ``bucket``.
 
     Where the header table is too large to broadcast, files are divided into ``buckets`` by path.
     Each bucket is a scan of its own files with its own part of the header table, so that rows are
     never shuffled to find their header. ``width`` and number of ``files`` of ``headers`` are looked
     up if not given.
     """
-    width, numbered, parts = width or widest(headers), "row_no" in keep, []
+    width, numbered, parts = width or reach(headers, contract), "row_no" in keep, []
     for bucket in range(buckets):
         mine, theirs = wanted, headers
         if buckets > 1:
             mine = lambda path, b=bucket: wanted(path) & (bucket_of(path, buckets) == b)
             theirs = headers.filter(bucket_of(F.col("path"), buckets) == bucket)
-        rows = csv_rows(spark, roots, width, mine, multiline, numbered, split_above)
+        rows = positional_rows(spark, roots, width, mine, multiline, numbered)
         bound = bind(rows, theirs, contract, keep, files if buckets == 1 else None)
         parts.append(bound.withColumn("bucket", F.lit(bucket)))
     return reduce(DataFrame.unionAll, parts)
 
 
-def widest(headers: DataFrame) -> int:
-    return headers.agg(F.max(F.size("header"))).first()[0] or 1
+def reach(headers: DataFrame, contract: Contract) -> int:
+    """How many cells of a row are needed: up to the last contract column of any file, and one more
+    to see ragged rows. Columns of no contract beyond that do not widen the scan."""
+    last = with_places(headers, contract).agg(F.max(F.array_max("places"))).first()[0]
+    return (last or 0) + 1
 
 
 def read_csv(
@@ -286,16 +197,16 @@ def read_csv(
     contract: Contract,
     multiline: bool = True,
     lenient: bool = False,
-    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """All CSV files below ``roots`` as one table of the contract, bound by column name.
 
     Columns outside the contract are left out; absent ones are NULL. An input folder without rows
-    gives an empty table with the contract schema. Text that is not of the contract type fails the
-    job or, when ``lenient``, gives NULL; ``casting.split_failed`` keeps such rows apart instead.
+    gives an empty table with the contract schema. Ragged rows, and text that is not of the contract
+    type, fail the job or, when ``lenient``, lose the cells beyond the header and give NULL;
+    ``casting.split_failed`` keeps rows of wrong types apart instead.
     """
     roots = list(roots)
-    sizes = list_files(spark, roots).agg(F.count(F.lit(1)), F.max("size")).first()
+    files = list_files(spark, roots).count()
     headers = materialise(read_headers(spark, roots), "headers")
     rows = bound_rows(
         spark,
@@ -303,9 +214,9 @@ def read_csv(
         headers,
         contract,
         multiline=multiline,
-        split_above=split_bytes if (sizes[1] or 0) > split_bytes else None,
-        buckets=buckets_for(sizes[0]),
+        buckets=buckets_for(files),
     )
+    rows = rows.drop("ragged") if lenient else refuse_ragged(rows)
     return conform(rows, contract, lenient)
 
 
