@@ -40,18 +40,21 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class; of repeated rows, one. Rows without an id stay."""
+    """One row of each class, that of the least id; of its equal rows, one. Rows without an id stay.
+
+    Rows that repeat an id are documents of their own, so rows are told apart by id and text.
+    """
     _bound_batches(spark)
-    classes = near_duplicates(docs).where("doc_id IS NOT NULL")
-    act = classes.groupBy("doc_id").agg(
-        F.min("component_id").alias("least"), F.count("*").alias("copies")
-    )
-    act = materialise(act.where("least < doc_id OR copies > 1"), "duplicates")
-    kept = docs.join(act.where("least < doc_id").select("doc_id"), "doc_id", "left_anti")
-    again = act.where("least = doc_id").select("doc_id")
+    key = ["doc_id", "text_hash"]
+    rows = near_duplicates(docs, stays=True).where("doc_id IS NOT NULL")
+    act = rows.groupBy(*key).agg(F.bool_and("stays").alias("stays"), F.count("*").alias("copies"))
+    act = materialise(act.where("NOT stays OR copies > 1"), "duplicates")
+    kept = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = kept.join(act.where("NOT stays").select(*key), key, "left_anti")
+    again = act.where("stays").select(*key)
     if not again.isEmpty():
-        one = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
+        one = kept.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, key, "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 

@@ -386,6 +386,18 @@ def test_pipeline(spark, folder, docs, nothing):
             assert last.count() == 0
 
 
+def test_rows_of_one_id_are_dropped_by_themselves(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choices([f"v{i}" for i in range(300)], k=60)) for _ in range(4))
+    rows = [(3, b), (5, a), (5, b + " more"), (9, a), (9, a), (7, c), (7, c), (7, d), (8, c + " more"), (6, d + " more")]
+    rows += [(4, ""), (4, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    for given in (docs, docs.repartition(4)):
+        got = corpus_pipeline.drop_near_duplicates(spark, given, "").collect()
+        want = [(3, b), (5, a), (7, c), (6, d + " more"), (4, ""), (4, None), (None, a)]
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_registered():
     assert sorted(QUERIES, key=lambda n: int(re.findall(r"\d+", n)[0])) == list(dict.fromkeys(
         sorted(QUERIES, key=lambda n: int(re.findall(r"\d+", n)[0]))))

@@ -15,7 +15,8 @@
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing, not even
 with each other. Rows that repeat an id are documents of their own. A null id is carried; components
-are named by their least non-null id. Columns of the input other than id and text are dropped.
+are named by their least non-null id. Columns of the input other than id and text are dropped. As an
+id may stand in several components, the name does not tell them apart: ``stays`` does, see there.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def _profile(percent: int):
+def _profile(percent: int, carried: list[str]):
     def profile(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs, answers = docs.sort_by("doc_id"), answers.sort_by("shard")
         sets, bounds = tx.shingle_sets(*tx.text_bytes(docs.column("text")))
@@ -139,6 +140,7 @@ def _profile(percent: int):
                 "prefix": pa.array(out["prefix"], pa.list_(pa.int64())),
                 "shared": pa.array(out["shared"], pa.float64()),
                 "members": pa.array(out["members"], pa.binary()),
+                **{c: docs.column(c) for c in carried},
             }
         )
 
@@ -210,10 +212,22 @@ def _keys(nodes: DataFrame, percent: int, *columns: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    percent: int = 80,
+    stays: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per document, with its class."""
+    """(doc_id, n_shingles, component_id): one row per document, with its class.
+
+    With ``stays`` also ``text_hash``, the ``xxhash64`` of the text, by which rows of one id are told
+    apart, and ``stays``: false for all rows of a class but that of the least id, then hash. Rows
+    equal in both stay together; a row without an id or in no class stays.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    carried = ["text_hash"] if stays else []
+    if stays:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
     dealt, number, shards = blocks.deal(rows, "doc_id", "text")
     anywhere = F.pmod(F.xxhash64("text"), F.lit(number)).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("doc_id").isNull(), anywhere).otherwise(F.col("block")))
@@ -226,7 +240,7 @@ def near_duplicates(
     profiles = materialise(
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_profile(percent), PROFILE),
+        .applyInArrow(_profile(percent, carried), ", ".join([PROFILE, *[f"{c} long" for c in carried]])),
         "profiles",
     )
 
@@ -312,14 +326,21 @@ def near_duplicates(
     links = links.unionByName(materialise(checked, "links")).select("a", "b")
 
     labels = components(links)
+    with_id = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *carried))
+    first = [F.min(with_id).alias("first")] if stays else []
+    one = [F.min("first").alias("one")] if stays else []
     named = profiles.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.count("*").alias("c")
+        F.min("doc_id").alias("least"), F.count("*").alias("c"), *first
     )
     named = named.join(labels, "node", "left").where("c > 1 OR label IS NOT NULL")
     named = named.withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = materialise(named.join(least, "label").select("node", "component_id"), "classes")
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), *one)
+    classes = named.join(least, "label").drop("label", "least", "c", "first")
+    classes = materialise(classes, "classes")
     own = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
-    return profiles.select("doc_id", "n", "node").join(classes, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")
-    )
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")]
+    if stays:
+        same = F.struct("doc_id", "text_hash") == F.col("one")
+        free = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("one").isNull()
+        out += [F.col("text_hash"), (free | same).alias("stays")]
+    return profiles.join(classes, "node", "left").select(*out)
