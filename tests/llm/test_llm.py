@@ -215,6 +215,20 @@ def test_language_model(docs, nothing):
     assert lm.score_texts(nothing.selectExpr("doc_id", "text", "true AS train"), "train").count() == 0
 
 
+@pytest.mark.parametrize("seen", [100, 50_000_000, 300_000_000, 1 << 50])
+def test_rare_successors_of_frequent_contexts(seen):
+    column = {"shard": pa.array([0], pa.int32()), "block": pa.array([7], pa.int32()), "n": pa.array([2], pa.int32()), "m": pa.array([1], pa.int32())}
+    keys = np.array([3, 9], "<u8").view(np.uint8).reshape(2, 8)[:, : trie.KEY_BITS // 8]
+    packed = {
+        "contexts": tx.pack_sorted(np.array([5], np.uint64)), "seen": tx.pack(np.array([seen])),
+        "runs": tx.pack(np.array([2], np.uint32)), "keys": tx.pack(keys.T), "counts": tx.pack(np.array([1, 40], np.uint32)),
+    }
+    reply = lm._answer_bigrams((), pa.table(column | {k: pa.array([v], pa.binary()) for k, v in packed.items()}))
+    codes = lm._word_counts(reply, 2, getattr(trie, "CODE", np.uint8))
+    off = np.log10(trie.LEVELS[codes]) - np.log10(np.array([1, 40]) / (seen + lm.MU))
+    assert abs(off).max() <= 0.5001 * trie.STEP
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 5), (900, 3000), (3000, 1 << 62), (2000, 2100), (900, 1 << 63)])
 def test_sequences(n, top):
     rng = np.random.default_rng(n)

@@ -6,7 +6,8 @@ mark. With c for counts over the training texts, N tokens and V different ones,
     p(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
     p(w | v) = c(v w) / (c(v) + MU) + MU / (c(v) + MU) * p(w)
 
-so the probabilities after each context sum to one. The first term is what a trie keeps, in one byte.
+so the probabilities after each context sum to one. The first term is what a trie keeps, in two
+bytes, so that no count of a context is too large for it.
 
 Counts come from all documents. Blocks of documents send their different words to shards, which
 answer with total counts; then their different bigrams, to the shard of the context. A context with
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import blocks
 from tidemark.llm import text as tx
-from tidemark.llm.trie import KEY_BITS, LEVELS, Trie, quantise
+from tidemark.llm.trie import CODE, KEY_BITS, LEVELS, Trie, quantise
 from tidemark.scratch import materialise
 
 MU = 8.0
@@ -225,7 +226,7 @@ def _score(shards: int, starts: int, total: int, known: int):
         words, inverse = np.unique(tokens, return_inverse=True)
         counts = _word_counts(answers, 1, np.int64)
         number, seen = _bigrams(tokens, bounds, inverse, counts, starts, shards)[4:]
-        codes = _word_counts(answers, 2, np.uint8)
+        codes = _word_counts(answers, 2, CODE)
         mine = counts[inverse]
         base = (mine + 0.5) / (total + 0.5 * (known + 1))
         p = LEVELS[codes[number]] + MU / (seen + MU) * base

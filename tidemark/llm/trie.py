@@ -3,6 +3,9 @@
 A sequence of ascending numbers keeps its lower bits in an array and its upper bits in unary. Searches
 are vectorised: many values are looked up at once, without unpacking the sequence. All parts are flat
 arrays, so a trie can be written to one file and mapped into memory.
+
+The pointers from contexts to their successors are part of the trie, but no search uses them: a
+successor begins with the rank of its context, which bounds the search already.
 """
 
 from __future__ import annotations
@@ -12,16 +15,16 @@ import tempfile
 
 import numpy as np
 
-#: log10 probabilities are kept in one byte: 0 is "absent", then steps of this size downwards from 0.
+#: log10 probabilities are kept in two bytes: 0 is "absent", then steps of this size downwards from 0.
 STEP = 0.03
+CODE = np.uint16
 
-
-def quantise(probability: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(probability) / STEP) + 1, 1, 255).astype(np.uint8)
+#: The probability of each code. The last is below 10^-30, and one in all 64-bit counts is above 10^-19.
+LEVELS = np.append(0.0, 10.0 ** (-STEP * np.arange(1023)))
 
 
-#: The probability of each code.
-LEVELS = np.append(0.0, 10.0 ** (-STEP * np.arange(255)))
+def quantise(probability: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(probability) / STEP) + 1, 1, len(LEVELS) - 1).astype(CODE)
 
 
 class Sequence:
@@ -147,7 +150,7 @@ class Trie:
     def look_up(self, contexts: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The code of each n-gram, 0 if it is absent."""
         rank = self.contexts.find(contexts)
-        out = np.zeros(len(contexts), np.uint8)
+        out = np.zeros(len(contexts), CODE)
         known = np.flatnonzero(rank >= 0)
         at = self.successors.find(rank[known].astype(np.uint64) << np.uint64(KEY_BITS) | keys[known])
         hit = at >= 0
