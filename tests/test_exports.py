@@ -184,6 +184,24 @@ def test_parquet_input(spark, folder, write):
     assert [r.attempt for r in read_table(spark, f"{folder}/out/responses").collect()] == [3]
 
 
+def test_any_number_of_wrongly_typed_files(spark, folder):
+    sql = "SELECT 'c1' AS class_id, 's1' AS student_id, '{0}' AS item_id, {1} AS attempt"
+    good, wrong = f"{folder}/in/x/responses.parquet", f"{folder}/in/z/responses.parquet"
+    for n in range(3):
+        spark.sql(sql.format(n, "1L")).coalesce(1).write.mode("append").parquet(good)
+    spark.sql(sql.format("i", "'x'")).coalesce(1).write.parquet(wrong)
+    one = next(f for f in os.listdir(wrong) if f.endswith(".parquet"))
+    for n in range(10_001):
+        os.link(f"{wrong}/{one}", f"{wrong}/part-{n:05}.parquet")
+    seen = inspect(spark, [f"{folder}/in"])
+    assert outcomes(seen.report, f"{folder}/in") == {
+        ("x/responses.parquet", "responses"): "load",
+        ("z/responses.parquet", "responses"): "rejected:wrong_type",
+    }
+    rows = seen.rows(RESPONSES_TABLE).select("item_id", "attempt").collect()
+    assert sorted(tuple(r) for r in rows) == [("0", "1"), ("1", "1"), ("2", "1")]
+
+
 def test_rejects(spark, folder, write):
     head = "class_id,student_id,chapter,page,media_id,access_count\n"
     write(f"{folder}/in/media_views.csv", head + "c,s,1,1,m1,1\nc,s,1,1,m2,many\n")

@@ -2,7 +2,8 @@
 
 Text is parsed once: the rows of each table are staged as Parquet, still as text, together with the
 file they come from. Checks then read one or two staged columns, and the load reads the staged rows
-of the chosen files. Only counts and the list of table names reach the driver.
+of the chosen files. Only counts, the list of table names and, some thousands at a time, paths of wrongly
+typed Parquet files reach the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ NO_SIBLING = "no_sibling_data"
 WRONG_TYPE = "wrong_type"
 RAGGED = "ragged_row"
 
+#: Paths of wrongly typed Parquet files that one scan leaves out by name.
+WRONG_PATHS = 10_000
+
 
 @dataclass(frozen=True)
 class Inspection:
@@ -198,25 +202,36 @@ def _stage(
         members = archives.member_rows(cells)
         parts.append(delimited.bind(members, usable, contract, keep).select("*", bucket))
     if facts["parquet"]:
-        broken = _wrong_typed(headers.filter(F.col("type") == contract.name))
-        stored = columnar.text_rows(
-            spark,
-            roots,
-            contract,
-            lambda path: may_be_file_of(path, [contract], "parquet") & ~path.isin(broken),
-        )
+        broken = headers.filter((F.col("type") == contract.name) & (F.col("reason") == WRONG_TYPE))
+        stored = _typed_rows(spark, roots, broken.select("path"), contract)
         stored = stored.join(broadcast_if_small(usable.select("path")), "path", "left_semi")
         parts.append(stored.select("*", bucket, F.lit(False).alias("ragged")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _wrong_typed(headers: DataFrame, limit: int = 10_000) -> list[str]:
-    """Parquet files that a typed scan must not open. They are rare; a folder full of them is a
-    mistake to stop at, not to work around."""
-    found = headers.filter(F.col("reason") == WRONG_TYPE).select("path").limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} Parquet files with wrong column types, as {found[0].path}")
-    return [row.path for row in found]
+def _typed_rows(
+    spark: SparkSession, roots: list[str], broken: DataFrame, contract: Contract
+) -> DataFrame:
+    """Text rows of the contract's Parquet files but those of ``broken`` (path), which a typed scan
+    must not open. However many these are, a scan names about :data:`WRONG_PATHS` of them: files are
+    divided by path, and each part is scanned and written by itself."""
+    turns = 1 + broken.count() // WRONG_PATHS
+
+    def part_of(path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(turns))
+
+    parts = []
+    for turn in range(turns):
+        mine = broken if turns == 1 else broken.filter(part_of(F.col("path")) == turn)
+        named = [row.path for row in mine.collect()]
+
+        def wanted(path: Column, turn: int = turn, named: list[str] = named) -> Column:
+            typed = may_be_file_of(path, [contract], "parquet") & ~path.isin(named)
+            return typed if turns == 1 else typed & (part_of(path) == turn)
+
+        rows = columnar.text_rows(spark, roots, contract, wanted)
+        parts.append(rows if turns == 1 else materialise(rows, "typed"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _verdicts(
