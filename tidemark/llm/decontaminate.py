@@ -7,7 +7,8 @@ miss some.) Documents probe the partitions whose items their own size can hold;
 on the full sets.
 
 Defined results: texts without words hold nothing and items without words are in nothing; under five
-words the whole sequence is one shingle. Repeated rows give repeated results. Null ids are carried.
+words the whole sequence is one shingle. So an item of one to four words is found only in a document of
+these words alone, not in longer ones, even where it stands there verbatim. Repeated rows give repeated results. Null ids are carried.
 """
 
 from __future__ import annotations
