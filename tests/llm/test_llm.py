@@ -415,5 +415,5 @@ def test_rows_of_one_id_are_dropped_by_themselves(spark):
 def test_registered():
     assert sorted(QUERIES, key=lambda n: int(re.findall(r"\d+", n)[0])) == list(dict.fromkeys(
         sorted(QUERIES, key=lambda n: int(re.findall(r"\d+", n)[0]))))
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, pii, quality, unigram
+from tidemark.llm import bpe, language, pii, quality, unigram, whitening
+from tidemark.llm.audit import audit_quality
 from tidemark.llm.decontaminate import find_items
 from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next
 from tidemark.llm.lm import score_texts
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.substrings import remove_repeats
+from tidemark.llm.topk import top_k
 
 #: The vocabulary files of public tokenizers; any other path can be given to the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -215,3 +217,87 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, "train").select(
         "doc_id", _part(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+@query(
+    r"""
+    WITH RECURSIVE texts AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), firsts AS (
+      SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text
+    ), marks AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+        max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id
+    ), masks AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        len(w) < 200 AS a,
+        100 * len(list_distinct(w)) < 50 * len(w) AS b,
+        100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) AS c,
+        regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(doc_id > first_id, false) AS e
+      FROM texts JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+    ), fails AS (
+      SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END
+        || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END
+        || CASE WHEN e THEN 'E' ELSE '' END AS mask,
+        count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+      FROM masks GROUP BY ALL
+    ), orders(filter_order) AS (
+      SELECT '' UNION ALL
+      SELECT filter_order || letter FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS u(letter)
+      WHERE NOT contains(filter_order, letter)
+    ), steps AS (
+      SELECT filter_order, step, filter_order[step] AS f, filter_order[:step - 1] AS earlier
+      FROM orders, range(1, 6) AS r(step) WHERE len(filter_order) = 5
+    ), counted AS (
+      SELECT part, filter_order, step, f,
+        sum(n) FILTER (translate(mask, earlier || f, '') = mask) AS kept,
+        sum(n) FILTER (contains(mask, f) AND translate(mask, earlier, '') = mask) AS removed,
+        sum(n) FILTER (contains(mask, f) AND translate(mask, earlier, '') <> mask) AS redundant,
+        sum(n) FILTER (mask = f) AS unique_fails,
+        sum(good) FILTER (contains(mask, f) AND translate(mask, earlier, '') = mask) AS good_lost,
+        sum(toxic) FILTER (contains(mask, f) AND translate(mask, earlier, '') = mask) AS toxic_lost
+      FROM fails, steps GROUP BY part, filter_order, step, f
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+      CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+      CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+      CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+      CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+      CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+      CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+    FROM counted
+    """
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit_quality(docs, table(spark, sf_dir, "labels"))
+
+
+@query(
+    """
+    WITH vectors AS (
+      SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x
+      FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ), scores AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+      vec_id, score
+    FROM scores QUALIFY rank <= 20
+    """
+)
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
