@@ -81,6 +81,7 @@ def test_strict_report(strict, exports):
         ("nulls/responses.csv", "responses"): "load",
         ("noclass/responses.csv", "responses"): "rejected:no_class_id",
         ("header/responses.csv", "responses"): "rejected:empty",
+        ("zero/responses.csv", "responses"): "rejected:empty",
         ("late/page_views.csv", "page_views"): "load",
         ("suffix/responses.txt", "responses"): "rejected:unknown_format",
         ("legacy/tags.csv", "tags"): "legacy",

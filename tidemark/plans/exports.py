@@ -19,13 +19,15 @@ from tidemark.operators.choose import newer_than_stored
 from tidemark.operators.dedup import dedup_latest
 from tidemark.operators.report import reconcile
 from tidemark.plans.inspect import Inspection, inspect
-from tidemark.plans.table import merge_into, read_table
+from tidemark.plans.table import merge_into, read_table, version_of
 from tidemark.scratch import materialise
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
 from tidemark.sources.catalogue import list_files
 
 SOURCE_FILE, SOURCE_CLASS, SOURCE_MODIFIED = "source_file", "source_class", "source_modified"
 SOURCE = (SOURCE_FILE, SOURCE_CLASS, SOURCE_MODIFIED)
+#: Where :func:`organize_exports` notes how new the files were that it laid out.
+SOURCE_TIMES = "_sources"
 #: The newest file wins; files of the same time are settled by name.
 NEWEST = (SOURCE_MODIFIED, SOURCE_FILE)
 
@@ -100,8 +102,8 @@ def organize_exports(
 ) -> DataFrame:
     """Lay exports out per class as ``<output>/<type>.csv/class=<id>/`` and return the load report.
 
-    A class that is there already is replaced only if one of its chosen files is newer, and then by all
-    of them; the files of other classes are reported as ``skip``. Tables about many classes are
+    A class that is there already is replaced only if one of its chosen files is newer than the newest
+    that it was loaded from (noted in ``<output>/_sources``), and then by all of them; the files of other classes are reported as ``skip``. Tables about many classes are
     merged by key into the stored table ``<output>/<type>``, of which ``<output>/<type>.csv`` is a
     copy. Validation is always strict.
     """
@@ -121,12 +123,11 @@ def organize_exports(
             merged = read_table(spark, f"{output}/{contract.name}")
             write_csv(merged.drop(*SOURCE), target, mode="overwrite")
             continue
-        stored = stored_classes(spark, target)
+        files = found.report.filter((F.col("type") == contract.name) & (F.col("outcome") == "load"))
+        classes = files.groupBy("class_id").agg(F.max("modified").alias("modified"))
+        times = f"{output}/{SOURCE_TIMES}/{contract.name}"
+        stored = loaded_classes(spark, target, times)
         if stored is not None:
-            files = found.report.filter(
-                (F.col("type") == contract.name) & (F.col("outcome") == "load")
-            )
-            classes = files.groupBy("class_id").agg(F.max("modified").alias("modified"))
             fate = newer_than_stored(classes, stored, "class_id").filter(F.col("outcome") == "skip")
             # Written before the layout changes, which it is compared with.
             older = materialise(fate.select(F.lit(contract.name).alias("type"), "class_id"), "skipped")
@@ -134,6 +135,8 @@ def organize_exports(
             skipped = older if skipped is None else skipped.unionAll(older)
         rows = rows.withColumnRenamed(SOURCE_CLASS, "class").drop(*SOURCE)
         write_per_class(rows, target, mode="overwrite", replace_classes=True)
+        # After the layout: a job that dies in between loads the same files once more.
+        merge_into(classes, times, ["class_id"], ["modified"], unique=True)
     if skipped is None:
         return found.report
     marked = found.report.join(skipped.withColumn("_skip", F.lit(True)), ["type", "class_id"], "left")
@@ -158,6 +161,17 @@ def find_orphans(
     return reconcile(listed, data)
 
 
+def loaded_classes(spark: SparkSession, path: str, times: str) -> DataFrame | None:
+    """(class_id, modified) of the class directories below ``path``: the time of the newest file that each
+    was loaded from or, where none was noted, of its own files. None if there are no classes."""
+    stored = stored_classes(spark, path)
+    if stored is None or not version_of(spark, times):
+        return stored
+    noted = read_table(spark, times).withColumnRenamed("modified", "noted")
+    both = stored.join(noted, "class_id", "left")
+    return both.select("class_id", F.coalesce("noted", "modified").alias("modified"))
+
+
 def stored_classes(spark: SparkSession, path: str) -> DataFrame | None:
     """(class_id, modified) of the class directories below ``path``, or None if there are none."""
     try:

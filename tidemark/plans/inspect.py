@@ -1,9 +1,11 @@
 """From input folders to a load report and staged rows.
 
-Text is parsed once: the rows of each table are staged as Parquet, still as text, together with the
-file they come from. Checks then read one or two staged columns, and the load reads the staged rows
-of the chosen files. Only counts, the list of table names and, some thousands at a time, paths of wrongly
-typed Parquet files reach the driver.
+First the *heads* of all files are read: their columns and, for the fast check, their first rows. What they
+rule out is never parsed. The rest is parsed once: one scan of all CSV files of all tables, joined with
+one small row per file (the *manifest*: which cell is which column), is staged as Parquet, still as
+text. Checks then read one or two staged columns, and the load reads the staged rows of the chosen files.
+Only counts, the list of table names and, some thousands at a time, paths of files that a scan must not
+open reach the driver.
 """
 
 from __future__ import annotations
@@ -12,30 +14,39 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.contracts import ATTACHMENTS, EXPORT_CONTRACTS, Contract
+from tidemark.contracts import ATTACHMENTS, EXPORT_CONTRACTS, Contract, sql_names
 from tidemark.functions import paths
 from tidemark.operators import validate as v
 from tidemark.operators.choose import POLICIES, one_file_per_key
 from tidemark.operators.report import load_outcome
 from tidemark.scratch import broadcast_if_small, materialise
 from tidemark.sources import archives, columnar, delimited
-from tidemark.sources.catalogue import describe_files, may_be_file_of, list_files
+from tidemark.sources.catalogue import describe_files, list_files, may_be_file_of
+from tidemark.sources.heads import UNREADABLE, read_heads
+from tidemark.sources.storage import reachable
 
 NO_SIBLING = "no_sibling_data"
 WRONG_TYPE = "wrong_type"
 RAGGED = "ragged_row"
+#: What the report calls an archive that can't be read, so that nobody knows what it holds.
+ARCHIVE = "archive"
 
-#: Paths of wrongly typed Parquet files that one scan leaves out by name.
+CLASS_ID = "class_id"
+#: Rows of a file that the fast check looks at.
+FAST_ROWS = 50
+#: Paths of files that one scan leaves out by name.
 WRONG_PATHS = 10_000
 
 
 @dataclass(frozen=True)
 class Inspection:
     """``report``: one row per file, with ``class_id`` and ``outcome``. ``files``: which paths make
-    up each of them (``unit``). ``staged``: per table, the text rows of all files whose columns are known, with ``path``, ``row_no``, ``bucket`` and ``ragged``."""
+    up each of them (``unit``). ``staged``: per table, the text rows of all files that their heads do not
+    rule out: ``path``, ``row_no``, ``bucket``, ``class_id``, ``cells`` in the order of the contract, and
+    ``fault``."""
 
     report: DataFrame
     staged: dict[str, DataFrame]
@@ -52,14 +63,18 @@ class Inspection:
             F.col("modified").alias("source_modified"),
         )
         chosen = chosen.join(self.files, chosen["source_file"] == self.files["unit"]).drop("unit")
-        rows = self.staged[contract.name]
+        # Cells get their names before the join: a contract may have a column called like those of it.
+        cells = [F.get("cells", F.lit(i)).alias(f"_{i}") for i in range(len(contract.names))]
+        rows = self.staged[contract.name].select("path", "bucket", *cells)
         # Bucket by bucket, as the rows were staged: the files of one are few enough to broadcast.
         parts = []
         for bucket in range(self.buckets):
             mine = chosen.filter(delimited.bucket_of(F.col("source_file"), self.buckets) == bucket)
             staged = rows.filter(F.col("bucket") == bucket)
             parts.append(staged.join(broadcast_if_small(mine), "path"))
-        return reduce(DataFrame.unionAll, parts).drop("path", "row_no", "bucket", "ragged")
+        named = [F.col(f"_{i}").alias(name) for i, name in enumerate(contract.names)]
+        source = ["source_file", "source_class", "source_modified"]
+        return reduce(DataFrame.unionAll, parts).select(*named, *source)
 
 
 def inspect(
@@ -75,7 +90,7 @@ def inspect(
     ``validation="strict"`` wants contract columns only and one class per file (tables about many
     classes need the columns only). ``"fast"`` wants a class in the first 50 rows and looks at
     nothing else; columns outside the contract are then ignored. Either way a file with a row of more
-    cells than its header is rejected.
+    cells than its header is rejected, and so are files that are empty or can't be read.
 
     ``policy`` says which of several files for one table and class is loaded: the ``"latest"``, the
     ``"first"`` by path, or ``"all"``, leaving duplicates to the row-level key.
@@ -85,76 +100,105 @@ def inspect(
     roots, strict = list(roots), validation == "strict"
     live = [c for c in contracts if not c.legacy]
 
-    loose = list_files(spark, roots)
-    files = describe_files(loose, contracts).unionByName(
-        archives.list_members(loose, contracts), allowMissingColumns=True
+    files = materialise(_catalogue(spark, roots, contracts), "catalogue")
+    present = files.filter(F.col("reason").isNull()).groupBy("type").agg(
+        F.count("*").alias("files"), F.count_if(_far()).alias("far")
     )
-    files = materialise(files, "catalogue")
-    in_archive = F.col("archive_path").isNotNull()
-    facts = files.groupBy("type").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.count_if(in_archive).alias("members"),
-        F.count_if(~in_archive & (F.col("format") == "parquet")).alias("parquet"),
-    )
-    facts = {row["type"]: row for row in facts.collect()}
-    buckets = delimited.buckets_for(sum(row["files"] for row in facts.values()))
-    loaded = [c for c in live if c.name in facts]
-    names = [c.name for c in loaded]
-
-    cells = None
-    if any(facts[name]["members"] for name in names):
-        members = files.filter(in_archive & F.col("type").isin(*names))
-        cells = materialise(archives.read_members(members), "cells")
-    parquet = None
-    if any(facts[name]["parquet"] for name in names):
-        parquet = files.filter(
-            ~in_archive & (F.col("format") == "parquet") & F.col("type").isin(*names)
-        )
-    headers = materialise(_headers(spark, roots, parquet, cells, loaded, strict), "headers")
-    usable = headers.filter(F.col("reason").isNull())
-    sizes = usable.groupBy("type").agg(F.count(F.lit(1)).alias("files"))
-    sizes = {row["type"]: row["files"] for row in sizes.collect()}
-    staged = {
-        c.name: materialise(
-            _stage(spark, roots, cells, headers, c, multiline, facts[c.name], sizes.get(c.name, 0), buckets),
-            c.name,
-            ("bucket",),
-        )
-        for c in loaded
-    }
-
-    verdicts = _verdicts(spark, staged, loaded, strict)
-    units = materialise(_judge(files, headers, verdicts, contracts, strict), "units")
+    present = {row["type"]: row for row in present.collect()}
+    loaded = [c for c in live if c.name in present]
+    buckets = delimited.buckets_for(sum(row.files for row in present.values()))
+
+    far = any(present[c.name].far for c in loaded)
+    heads = materialise(_heads(spark, roots, files, loaded, strict, multiline, far), "heads")
+    staged = _stage(spark, roots, files, heads, loaded, multiline, buckets)
+    if strict:
+        verdicts = _class_of_all_rows(staged, loaded)
+    else:
+        verdicts = _class_of_first_rows(heads)
+    verdicts = verdicts.join(_faults(staged), "unit", "left")
+    units = materialise(_judge(files, heads, verdicts, contracts), "units")
     report = _outcomes(units, contracts, policy)
-    report = report.unionByName(_attachments(files, units), allowMissingColumns=True)
-    return Inspection(materialise(report, "report"), staged, files.select("path", "unit"), buckets)
+    report = report.unionByName(_attachments(files, units, contracts), allowMissingColumns=True)
+    tables = {c.name: staged.filter(F.col("type") == c.name) for c in loaded}
+    return Inspection(materialise(report, "report"), tables, files.select("path", "unit"), buckets)
 
 
-def _headers(
+def _catalogue(spark: SparkSession, roots: list[str], contracts: Sequence[Contract]) -> DataFrame:
+    """Loose files and members of archives, with a ``reason`` for those that hold nothing or can't be opened."""
+    listed = list_files(spark, roots)
+    archive = F.lower("path").endswith(".zip")
+    loose = describe_files(listed.filter(~archive), contracts)
+    members = archives.list_members(listed.filter(archive & (F.col("size") > 0)), contracts)
+    closed = F.col("reason").isNotNull()
+    members = members.withColumn("type", F.when(closed, F.lit(ARCHIVE)).otherwise(F.col("type")))
+    files = loose.unionByName(members, allowMissingColumns=True)
+    nothing = F.when(F.col("size") == 0, F.lit(v.EMPTY))
+    return files.withColumn("reason", F.coalesce("reason", nothing))
+
+
+def _far() -> Column:
+    """Loose CSV files in stores that Spark reads, but tasks can't open by themselves. Spark's scan has to
+    tell their heads, at the price of all lines."""
+    loose = (F.col("format") == "csv") & F.col("archive_path").isNull()
+    return F.coalesce(loose & ~reachable(F.col("path")), F.lit(False))
+
+
+def _heads(
     spark: SparkSession,
     roots: list[str],
-    parquet: DataFrame | None,
-    cells: DataFrame | None,
+    files: DataFrame,
     loaded: Sequence[Contract],
     strict: bool,
+    multiline: bool,
+    far: bool,
 ) -> DataFrame:
-    """(path, header, reason) of every loadable file."""
-    known = sorted({name for c in loaded for name in c.names})
-    if not known:
-        return spark.createDataFrame([], "path string, type string, header array<string>, reason string")
-    found = delimited.read_headers(
-        spark, roots, lambda path: may_be_file_of(path, loaded, "csv"), known if strict else None
-    )
-    if cells is not None:
-        found = found.unionByName(archives.member_headers(cells))
-    if parquet is None:
-        found = found.withColumn("kinds", F.lit(None).cast("array<string>"))
-    else:
-        found = found.unionByName(columnar.read_footers(parquet), allowMissingColumns=True)
-    table = paths.type_of(paths.dataset_of(F.col("path")), [c.name for c in loaded])
-    return found.withColumn("type", table).select(
-        "path", "type", "header", _column_reason(loaded, strict).alias("reason")
+    """(path, unit, type, format, archive_path, header, rows, first_id, reason) of every loadable file."""
+    in_archive = F.col("archive_path").isNotNull()
+    wanted = files.filter(
+        F.col("type").isin(*[c.name for c in loaded])
+        & F.col("reason").isNull()
+        & ((F.col("format") == "csv") | (~in_archive & (F.col("format") == "parquet")))
     )
+    rows = 0 if strict else FAST_ROWS
+    found = read_heads(wanted.filter(~_far()), CLASS_ID, rows)
+    if far:
+        found = found.unionByName(_heads_by_scan(spark, roots, wanted.filter(_far()), loaded, rows, multiline))
+    about = ("path", "unit", "type", "format", "archive_path")
+    found = found.join(wanted.select(*about), "path")
+    nothing = F.when(F.col("header").isNull(), F.lit(v.EMPTY))
+    reason = F.coalesce("reason", nothing, _column_reason(loaded, strict))
+    found = found.select(*about, "header", "rows", "first_id", reason.alias("reason"))
+    if strict:
+        return found
+    # Not one part of the file has a class in its first rows.
+    found = materialise(found, "first-rows")
+    none = _class_of_first_rows(found).filter(F.col("verdict") != v.OK)
+    found = found.join(none.select("unit", "verdict"), "unit", "left")
+    return found.withColumn("reason", F.coalesce("reason", "verdict")).drop("verdict")
+
+
+def _heads_by_scan(
+    spark: SparkSession, roots: list[str], files: DataFrame, loaded: Sequence[Contract], rows: int, multiline: bool
+) -> DataFrame:
+    """What :func:`read_heads` gives, for loose CSV files."""
+
+    def wanted(path: Column) -> Column:
+        return may_be_file_of(path, loaded, "csv")
+
+    headers = delimited.read_headers(spark, roots, wanted).join(files.select("path"), "path", "left_semi")
+    headers = materialise(headers, "headers")
+    first = spark.createDataFrame([], "path string, rows int, first_id string")
+    if rows:
+        one = Contract.of("first", f"{CLASS_ID} STRING")
+        seen = delimited.bound_rows(
+            spark, roots, headers, one, wanted, multiline, delimited.buckets_for(headers.count()), ("path", "row_no")
+        )
+        some = seen.groupBy("path").agg(F.lit(1).alias("rows"))
+        first = some.join(v.first_id_check(seen, "path", "row_no", CLASS_ID, rows), "path", "left")
+        first = first.withColumnRenamed(CLASS_ID, "first_id")
+    nothing = [F.lit(None).cast("array<string>").alias("kinds"), F.lit(None).cast("string").alias("reason")]
+    rows_seen = F.coalesce("rows", F.lit(0)).alias("rows")
+    return headers.join(first, "path", "left").select("path", "header", nothing[0], rows_seen, "first_id", nothing[1])
 
 
 def _column_reason(loaded: Sequence[Contract], strict: bool) -> Column:
@@ -171,42 +215,136 @@ def _column_reason(loaded: Sequence[Contract], strict: bool) -> Column:
     return reason
 
 
+def _by_type(loaded: Sequence[Contract], value) -> Column:
+    found = F.lit(None)
+    for c in loaded:
+        found = F.when(F.col("type") == c.name, value(c)).otherwise(found)
+    return found
+
+
+def _manifest(heads: DataFrame, loaded: Sequence[Contract], buckets: int) -> DataFrame:
+    """One row per file to scan: type, bucket, and for each column of its contract the place in the file."""
+    places = _by_type(
+        loaded, lambda c: F.expr(f"transform({sql_names(c)}, name -> int(array_position(header, name)))")
+    )
+    return heads.select(
+        "path",
+        "type",
+        delimited.bucket_of(F.col("unit"), buckets).alias("file_bucket"),
+        places.alias("places"),
+        F.size("header").alias("last_place"),
+        F.col("archive_path").isNotNull().alias("inside"),
+        (F.col("format") == "parquet").alias("typed"),
+    )
+
+
+def _bound(rows: DataFrame, manifest: DataFrame, loaded: Sequence[Contract]) -> DataFrame:
+    """Positional rows with their files: cells in the order of the contract, and what is wrong."""
+    joined = rows.join(manifest, "path")
+    # Place 0 (absent) is NULL first, since element 0 is an error; past the end gives NULL.
+    cells = F.expr("transform(places, place -> try_element_at(cells, nullif(place, 0)))")
+    ids = _by_type(loaded, lambda c: F.lit(c.names.index(CLASS_ID) if CLASS_ID in c.names else None))
+    fault = F.when(F.col("cells").isNull(), UNREADABLE).when(F.expr(delimited.RAGGED), RAGGED)
+    return joined.select(
+        "path", "type", F.col("file_bucket").alias("bucket"), "row_no", fault.alias("fault"), cells.alias("cells"),
+        ids.cast("int").alias("_at"),
+    ).select(
+        "path", "type", "bucket", "row_no", "fault", F.get("cells", F.col("_at")).alias(CLASS_ID), "cells"
+    )
+
+
 def _stage(
     spark: SparkSession,
     roots: list[str],
-    cells: DataFrame | None,
-    headers: DataFrame,
-    contract: Contract,
+    files: DataFrame,
+    heads: DataFrame,
+    loaded: Sequence[Contract],
     multiline: bool,
-    facts: Row,
-    usable_files: int,
     buckets: int,
 ) -> DataFrame:
-    usable = headers.filter((F.col("type") == contract.name) & F.col("reason").isNull())
-    usable, keep = usable.select("path", "header"), ("path", "row_no")
-    bucket = delimited.bucket_of(F.col("path"), buckets).alias("bucket")
-    parts = [
-        delimited.bound_rows(
-            spark,
-            roots,
-            usable,
-            contract,
-            lambda path: may_be_file_of(path, [contract], "csv"),
-            multiline,
-            buckets,
-            keep,
-            files=usable_files,
+    """The rows of all files that their heads do not rule out, written once."""
+    empty = spark.createDataFrame(
+        [], f"path string, type string, bucket int, row_no bigint, fault string, {CLASS_ID} string, cells array<string>"
+    )
+    if not loaded:
+        return empty
+    usable = heads.filter(F.col("reason").isNull())
+    manifest = materialise(_manifest(usable, loaded, buckets), "manifest")
+    counts = manifest.groupBy("type").agg(
+        F.count_if("typed").alias("typed"),
+        F.count_if("inside").alias("inside"),
+        F.count_if(~F.col("typed") & ~F.col("inside")).alias("loose"),
+        F.max(F.when(~F.col("typed"), F.array_max("places"))).alias("reach"),
+    )
+    counts = {row["type"]: row for row in counts.collect()}
+    reach = max((row.reach or 0 for row in counts.values()), default=0)
+    lines = manifest.filter(~F.col("typed"))
+    known = sum(row.loose + row.inside for row in counts.values())
+
+    scans = []
+    if any(row.loose for row in counts.values()):
+        tables = [c for c in loaded if c.name in counts and counts[c.name].loose]
+        # Files that are ruled out are not opened, unless there are too many to name; then the join drops them.
+        out = files.filter("format = 'csv' AND archive_path IS NULL").join(lines, "path", "left_anti")
+        out = out.filter(F.col("type").isin(*[c.name for c in tables])).select("path").limit(WRONG_PATHS + 1)
+        out = [row.path for row in out.collect()]
+        out = out if len(out) <= WRONG_PATHS else []
+
+        def wanted(path: Column) -> Column:
+            table = may_be_file_of(path, tables, "csv")
+            return table & ~path.isin(out) if out else table
+
+        scans.append(delimited.positional_rows(spark, roots, reach + 1, wanted, multiline, True))
+    if any(row.inside for row in counts.values()):
+        inside = files.join(lines.select("path"), "path", "left_semi").filter("archive_path IS NOT NULL")
+        scans.append(archives.read_members(inside))
+    parts = [empty]
+    for rows in scans:
+        parts += _bound_by_bucket(rows, lines, loaded, buckets, known)
+    for c in loaded:
+        if c.name in counts and counts[c.name].typed:
+            chosen = manifest.filter(F.col("typed") & (F.col("type") == c.name))
+            parts.append(_parquet_rows(spark, roots, chosen, heads, c))
+    rows = reduce(DataFrame.unionByName, parts)
+    return materialise(rows, "rows", ("type", "bucket"))
+
+
+def _bound_by_bucket(
+    rows: DataFrame, manifest: DataFrame, loaded: Sequence[Contract], buckets: int, files: int
+) -> list[DataFrame]:
+    """Rows joined with a manifest that is small enough to broadcast. One that is not is divided by path,
+    and the rows are written once so divided: however many files, the input is scanned once."""
+    if buckets == 1:
+        return [_bound(rows, broadcast_if_small(manifest, known_rows=files), loaded)]
+    apart = rows.withColumn("bucket", delimited.bucket_of(F.col("path"), buckets))
+    apart = materialise(apart, "positional", ("bucket",))
+    return [
+        _bound(
+            apart.filter(F.col("bucket") == bucket).drop("bucket"),
+            broadcast_if_small(manifest.filter(F.col("file_bucket") == bucket)),
+            loaded,
         )
+        for bucket in range(buckets)
     ]
-    if facts["members"]:
-        members = archives.member_rows(cells)
-        parts.append(delimited.bind(members, usable, contract, keep).select("*", bucket))
-    if facts["parquet"]:
-        broken = headers.filter((F.col("type") == contract.name) & (F.col("reason") == WRONG_TYPE))
-        stored = _typed_rows(spark, roots, broken.select("path"), contract)
-        stored = stored.join(broadcast_if_small(usable.select("path")), "path", "left_semi")
-        parts.append(stored.select("*", bucket, F.lit(False).alias("ragged")))
-    return reduce(DataFrame.unionByName, parts)
+
+
+def _parquet_rows(
+    spark: SparkSession, roots: list[str], manifest: DataFrame, heads: DataFrame, contract: Contract
+) -> DataFrame:
+    mine = heads.filter(F.col("type") == contract.name)
+    broken = mine.filter(F.col("reason").isin(WRONG_TYPE, UNREADABLE)).select("path")
+    rows = _typed_rows(spark, roots, broken, contract)
+    rows = rows.join(broadcast_if_small(manifest.select("path", F.col("file_bucket").alias("bucket"))), "path")
+    class_id = F.col(CLASS_ID) if CLASS_ID in contract.names else F.lit(None).cast("string")
+    return rows.select(
+        "path",
+        F.lit(contract.name).alias("type"),
+        "bucket",
+        "row_no",
+        F.lit(None).cast("string").alias("fault"),
+        class_id.alias(CLASS_ID),
+        F.array(*[F.col(f"`{name}`") for name in contract.names]).alias("cells"),
+    )
 
 
 def _typed_rows(
@@ -234,49 +372,45 @@ def _typed_rows(
     return reduce(DataFrame.unionAll, parts)
 
 
-def _verdicts(
-    spark: SparkSession, staged: dict[str, DataFrame], loaded: Sequence[Contract], strict: bool
-) -> DataFrame:
-    """(unit, class_id, verdict) of the units that have rows."""
-    found = spark.createDataFrame([], "unit string, class_id string, verdict string")
-    unit = paths.unit_of(F.col("path"))
-    for c in loaded:
-        # Rows shrink to a few per path first; only then are paths cut to units.
-        rows = staged[c.name]
-        if c.multi_class and strict:
-            seen = rows.select("path").distinct().select(unit.alias("unit")).distinct()
-            one = seen.selectExpr("unit", "cast(NULL AS string) AS class_id", f"'{v.OK}' AS verdict")
-        elif strict:
-            pairs = rows.select("path", "class_id").distinct().withColumn("unit", unit)
-            one = v.single_id_check(pairs, "unit").withColumnRenamed("outcome", "verdict").drop("rows")
-        else:
-            first = v.first_id_check(rows, "path", "row_no")
-            first = rows.select("path").distinct().join(first, "path", "left").withColumn("unit", unit)
-            classed = F.when(F.col("class_id").isNotNull(), F.col("path"))
-            one = first.groupBy("unit").agg(F.min_by("class_id", classed).alias("class_id"))
-            verdict = F.when(F.col("class_id").isNull(), v.NO_CLASS).otherwise(v.OK)
-            one = one.withColumn("verdict", verdict)
-        ragged = rows.filter("ragged").select("path").distinct().select(unit.alias("unit")).distinct()
-        one = one.join(ragged.withColumn("_ragged", F.lit(True)), "unit", "left")
-        verdict = F.when(F.col("_ragged"), RAGGED).otherwise(F.col("verdict"))
-        one = one.select("unit", "class_id", verdict.alias("verdict"))
-        found = found.unionByName(one)
-    return found
+def _class_of_all_rows(staged: DataFrame, loaded: Sequence[Contract]) -> DataFrame:
+    """(unit, class_id, verdict) of the units that have rows: one class among all of them, except in
+    tables about many."""
+    # Rows shrink to a few per path first; only then are paths cut to units.
+    pairs = staged.filter("fault IS NULL OR cells IS NOT NULL").select("type", "path", CLASS_ID).distinct()
+    pairs = pairs.withColumn("unit", paths.unit_of(F.col("path")))
+    many = F.col("type").isin(*[c.name for c in loaded if c.multi_class])
+    single = v.single_id_check(pairs.filter(~many), "unit").withColumnRenamed("outcome", "verdict")
+    whole = pairs.filter(many).select("unit").distinct()
+    whole = whole.selectExpr("unit", "cast(NULL AS string) AS class_id", f"'{v.OK}' AS verdict")
+    return single.select("unit", "class_id", "verdict").unionByName(whole)
+
+
+def _class_of_first_rows(heads: DataFrame) -> DataFrame:
+    """(unit, class_id, verdict) of the units that have rows, from their heads alone."""
+    classed = F.when(F.col("first_id").isNotNull(), F.col("path"))
+    found = heads.filter("rows > 0").groupBy("unit").agg(F.min_by("first_id", classed).alias("class_id"))
+    verdict = F.when(F.col("class_id").isNull(), v.NO_CLASS).otherwise(v.OK)
+    return found.withColumn("verdict", verdict)
+
+
+def _faults(staged: DataFrame) -> DataFrame:
+    """(unit, fault): what is wrong in some row of a unit."""
+    found = staged.filter("fault IS NOT NULL").select("path", "fault").distinct()
+    return found.groupBy(paths.unit_of(F.col("path")).alias("unit")).agg(F.max("fault").alias("fault"))
 
 
 def _judge(
-    files: DataFrame,
-    headers: DataFrame,
-    verdicts: DataFrame,
-    contracts: Sequence[Contract],
-    strict: bool,
+    files: DataFrame, heads: DataFrame, verdicts: DataFrame, contracts: Sequence[Contract]
 ) -> DataFrame:
     """One row per unit of a known table: when, how large, which class, and why not loadable."""
     legacy = [c.name for c in contracts if c.legacy]
-    reasons = headers.select("path", F.col("reason").alias("_columns"))
+    reasons = heads.select("path", F.col("reason").alias("_head"))
+    # An empty part file does not spoil the others: units without any row are empty in the end.
+    known = F.when(F.coalesce("_head", "reason") != v.EMPTY, F.coalesce("_head", "reason"))
     units = (
         files.filter(F.col("type").isNotNull())
         .join(reasons, "path", "left")
+        .withColumn("_columns", known)
         .groupBy("unit", "type", "format", "parent", "archive_path")
         .agg(
             F.max("modified").alias("modified"),
@@ -287,13 +421,15 @@ def _judge(
     )
     in_archive = F.col("archive_path").isNotNull()
     reason = (
-        F.when(F.col("format").isNull() | (in_archive & (F.col("format") != "csv")), v.UNKNOWN_FORMAT)
+        F.when(F.col("type") == ARCHIVE, UNREADABLE)
+        .when(F.col("format").isNull() | (in_archive & (F.col("format") != "csv")), v.UNKNOWN_FORMAT)
         .when(F.col("_columns").isNotNull(), F.col("_columns"))
+        .when(F.col("fault").isNotNull(), F.col("fault"))
         .when(F.col("verdict").isNull(), v.EMPTY)
         .when(F.col("verdict") != v.OK, F.col("verdict"))
     )
     is_legacy = F.col("type").isin(*legacy) if legacy else F.lit(False)
-    return units.withColumn("reason", F.when(~is_legacy, reason)).drop("_columns", "verdict")
+    return units.withColumn("reason", F.when(~is_legacy, reason)).drop("_columns", "verdict", "fault")
 
 
 def _outcomes(units: DataFrame, contracts: Sequence[Contract], policy: str) -> DataFrame:
@@ -313,11 +449,13 @@ def _outcomes(units: DataFrame, contracts: Sequence[Contract], policy: str) -> D
     return joined.withColumn("outcome", outcome).drop("_chosen")
 
 
-def _attachments(files: DataFrame, units: DataFrame) -> DataFrame:
-    """Report rows for files in attachment folders. They belong to the class that all checked data
-    files beside the folder share; without such files they are rejected."""
-    data = units.filter(F.col("reason").isNull() & F.col("class_id").isNotNull())
-    owners = v.sibling_class(data, "parent", F.lit(True), "class_id")
+def _attachments(files: DataFrame, units: DataFrame, contracts: Sequence[Contract]) -> DataFrame:
+    """Report rows for files in attachment folders. They belong to the class that all valid files beside
+    the folder share, of which one at least is of a live table; a valid file without a class, as those
+    of legacy tables and of tables about many classes, belongs to none. Otherwise they are rejected."""
+    live = [c.name for c in contracts if not c.legacy]
+    valid = units.filter(F.col("reason").isNull())
+    owners = v.sibling_class(valid, "parent", F.col("type").isin(*live), "class_id")
     owners = owners.withColumnRenamed("parent", "attached_to")
     attached = files.filter(F.col("attached_to").isNotNull()).join(owners, "attached_to", "left")
     reason = F.when(F.col("class_id").isNull(), F.lit(NO_SIBLING))

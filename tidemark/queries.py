@@ -23,26 +23,22 @@ from tidemark.operators import dedup, report, validate
 from tidemark.operators.choose import latest_per_parent, newer_than_stored, one_file_per_key
 from tidemark.operators.project import project
 from tidemark.operators.union import diagonal_union
-from tidemark.plans.exports import compress_exports, organize_exports
+from tidemark.plans.exports import compress_exports, find_orphans, organize_exports
 from tidemark.plans.inspect import inspect
 from tidemark.plans.load import load_latest
 from tidemark.plans.table import merge_into, read_table
 from tidemark.scratch import materialise, scratch_path
+from tidemark.sinks import folders
 from tidemark.sinks.files import write_csv, write_parquet, write_per_class
 from tidemark.sources import archives, columnar, delimited
 from tidemark.sources.catalogue import catalogue, list_files
+from tidemark.sources.heads import read_heads
 from tidemark.streaming.arrivals import merge_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
-
-
 def query(sql: str) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         name = function.__name__.removesuffix("_query")
@@ -418,16 +414,47 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files: catalogue, CSV, Parquet, archives ----------------------------------------------------
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{name}', '{name}', 'parquet')" for name in TABLES)
-    + ") AS t(name, type, format)"
-)
+def _write_files(files: DataFrame, root: str) -> DataFrame:
+    """Small files, ``<root>/<place>`` each, written by the tasks: (place)."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        filesystem, folder = fs.FileSystem.from_uri(root)
+        for rows in batches:
+            for place, text in zip(rows["place"], rows["text"], strict=True):
+                filesystem.create_dir(f"{folder}/{place}".rpartition("/")[0])
+                with filesystem.open_output_stream(f"{folder}/{place}") as file:
+                    file.write(text.encode())
+            yield rows[["place"]]
+
+    return materialise(files.mapInPandas(write, "place string"), "files")
+
+
+_OF_NATION = "SELECT c_nationkey AS nation, count(*) AS n, min(c_custkey) AS least FROM customer GROUP BY 1"
+
+
+@query(f"""
+    SELECT CASE WHEN nation % 4 = 3 THEN NULL ELSE 'accounts' END AS type,
+           CASE WHEN nation % 4 < 3 THEN CASE WHEN nation % 4 = 1 THEN 'parquet' ELSE 'csv' END END AS format,
+           n % 2 = 0 AS empty, count(*) AS files, min(nation)::VARCHAR AS least
+    FROM ({_OF_NATION}) GROUP BY ALL
+""")
 def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver tables as found in their folder, each a file or a directory of part files."""
-    files = catalogue(spark, [sf_dir], [Contract.of(name, "id BIGINT") for name in TABLES])
-    named = files.withColumn("name", paths.stem_of(F.col("dataset")))
-    return named.select("name", "type", "format").distinct()
+    """One file per nation that has customers: of three kinds of name, empty for an even number of them."""
+    root = scratch_path(spark, "catalogue")
+    nations = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    kind = F.col("c_nationkey") % 4
+    name = F.when(kind == 1, "Accounts.PARQUET").when(kind == 3, "readme.csv").otherwise("accounts.csv")
+    place = F.concat(F.lit("n="), F.col("c_nationkey"), F.lit("/"), name)
+    text = F.when(F.col("n") % 2 == 0, F.lit("")).otherwise(F.lit("class_id\n"))
+    _write_files(nations.select(place.alias("place"), text.alias("text")), root)
+    found = catalogue(spark, [root], [_ACCOUNTS])
+    nation = F.regexp_extract("path", "/n=([0-9]+)/", 1).cast("int")
+    return (
+        found.groupBy("type", F.when(F.col("type").isNotNull(), F.col("format")).alias("format"), (F.col("size") == 0).alias("empty"))
+        .agg(F.count("*").alias("files"), F.min(nation).cast("string").alias("least"))
+    )
 
 
 def _write_parts(df: DataFrame, path: str, by: str) -> None:
@@ -450,7 +477,7 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s_nationkey AS nation", "s_suppkey AS id", "s_name AS supplier_name"
     )
     _write_parts(suppliers, f"{root}/suppliers", "nation")
-    headers = delimited.read_headers(spark, [root], names=contract.names)
+    headers = read_heads(list_files(spark, [root]).withColumn("format", F.lit("csv")))
     return headers.select(
         F.regexp_extract("path", "/(customers|suppliers)/", 1).alias("source"),
         paths.partition_value(F.col("path"), "class").alias("class_id"),
@@ -560,8 +587,34 @@ def partitioned_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM orders
 """)
 def empty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a byte, without a row, and a folder without a file: each an empty table, united with
+    one that has rows."""
     contract = Contract.of("orders", "note STRING, o_orderkey BIGINT")
-    return diagonal_union(columnar.empty(spark, contract), table(spark, sf_dir, "orders"))
+    root, orders = scratch_path(spark, "empty"), table(spark, sf_dir, "orders")
+    folders.make(spark, f"{root}/folder")
+    write_csv(orders.select("o_orderkey").filter("o_orderkey IS NULL"), f"{root}/header")
+    none = table(spark, sf_dir, "region").select(F.lit("orders.csv").alias("place"), F.lit("").alias("text"))
+    _write_files(none.limit(1), f"{root}/bytes")
+    parts = [delimited.read_csv(spark, [f"{root}/{name}"], contract) for name in ("folder", "header", "bytes")]
+    return diagonal_union(*parts, orders)
+
+
+@query("""
+    SELECT c_custkey::BIGINT AS id, c_nationkey::VARCHAR AS code, c_acctbal AS balance, NULL::VARCHAR AS note
+    FROM customer
+    UNION ALL SELECT s_suppkey, s_nationkey::VARCHAR, NULL, s_name FROM supplier
+    UNION ALL SELECT p_partkey, p_brand, p_size::DOUBLE, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END FROM part
+""")
+def parquet_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet files of one table whose columns are of different types, or absent."""
+    root = scratch_path(spark, "mixed")
+    for name, source, columns in (
+        ("a", "customer", ("c_custkey AS id", "c_nationkey AS code", "c_acctbal AS balance")),
+        ("b", "supplier", ("s_name AS note", "CAST(s_suppkey AS INT) AS id", "CAST(s_nationkey AS BIGINT) AS code")),
+        ("c", "part", ("p_size AS balance", "p_partkey AS id", "p_brand AS code", "p_size > 25 AS note")),
+    ):
+        write_parquet(table(spark, sf_dir, source).selectExpr(*columns), f"{root}/{name}/accounts.parquet")
+    return columnar.read_parquet(spark, [root]).select("id", "code", "balance", "note")
 
 
 def _write_archives(df: DataFrame, root: str, member: str) -> None:
@@ -594,8 +647,9 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = _write_archives(talks, root, "export/talks.csv")
     members = archives.list_members(list_files(spark, [root]), [contract])
     members = members.withColumn("name", paths.file_name_of(F.col("archive_path")))
-    cells = materialise(archives.read_members(members.join(written, "name", "left_semi")), "cells")
-    rows = delimited.bind(archives.member_rows(cells), archives.member_headers(cells), contract)
+    members = materialise(members.join(written, "name", "left_semi"), "members")
+    headers = materialise(read_heads(members).select("path", "header"), "headers")
+    rows = delimited.bind(archives.read_members(members), headers, contract)
     return delimited.conform(delimited.refuse_ragged(rows), contract)
 
 
@@ -606,7 +660,8 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT s_suppkey, s_nationkey::BIGINT, NULL, s_acctbal FROM supplier
 """)
 def load_latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two directories; in one a newer Parquet table stands beside an older CSV of the same name."""
+    """Two directories; in one a newer Parquet table stands beside an older CSV of the same name, in the
+    other a newer CSV beside an older Parquet table that could not be loaded."""
     contract = Contract.of(
         "accounts", "id BIGINT, nation BIGINT, note STRING, segment STRING, balance DOUBLE"
     )
@@ -614,6 +669,8 @@ def load_latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     accounts = _accounts(spark, sf_dir).withColumn("nation", F.col("nation").cast("bigint"))
     write_csv(accounts.withColumn("balance", F.lit(0.0)), f"{root}/a/accounts.csv")
     write_parquet(accounts, f"{root}/a/accounts.parquet")
+    # Never opened: its columns are of other types.
+    write_parquet(accounts.selectExpr("segment AS id", "id AS segment"), f"{root}/b/accounts.parquet")
     suppliers = table(spark, sf_dir, "supplier").selectExpr(
         "s_acctbal AS balance", "s_nationkey AS nation", "s_suppkey AS id"
     )
@@ -690,9 +747,10 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer GROUP BY c_nationkey
 """)
 def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-class files in which a row about a large debt has one cell more than the header."""
+    """Per-class files in which a row about a large debt has text one, two or eleven cells past the header."""
     root = scratch_path(spark, "ragged")
-    more = F.when(F.col("c_acctbal") < -900, "more")
+    out = F.element_at(F.array(*[F.lit("," * n + "more") for n in (0, 1, 10)]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    more = F.when(F.col("c_acctbal") < -900, out)
     line = F.concat_ws(",", "c_nationkey", "c_custkey", "c_acctbal", "c_mktsegment", more)
     rows = table(spark, sf_dir, "customer").select(
         F.col("c_nationkey").alias("class"), F.lit(1).alias("rank"), line.alias("value")
@@ -726,17 +784,112 @@ def organize_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT DISTINCT c_nationkey::VARCHAR AS class_id, 'load' AS outcome FROM customer
+    SELECT DISTINCT c_nationkey::VARCHAR AS nation,
+      CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey::VARCHAR END AS class_id,
+      CASE WHEN c_nationkey % 5 > 0 THEN 'load' ELSE 'rejected:no_class_id' END AS outcome
+    FROM customer
 """)
 def fast_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with a column of no contract load after the fast check, which wants a class only."""
+    """Files with a column of no contract load after the fast check, which wants a class only; the files
+    of every fifth nation have none."""
     root = scratch_path(spark, "fast")
     rows = table(spark, sf_dir, "customer").selectExpr(
-        "c_name AS holder", "c_nationkey AS class_id", "c_custkey AS account_id"
+        "c_name AS holder",
+        "CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey END AS class_id",
+        "c_custkey AS account_id",
+        "c_nationkey AS class",
     )
-    _write_parts(rows, f"{root}/accounts.csv", "class_id")
+    write_per_class(rows, f"{root}/accounts.csv")
     found = inspect(spark, [root], [_ACCOUNTS], validation="fast").report
-    return found.select("class_id", "outcome")
+    nation = paths.partition_value(F.concat("unit", F.lit("/")), "class").alias("nation")
+    return found.select(nation, "class_id", "outcome")
+
+
+_LEDGER = Contract.of("ledger", "class_id STRING, id BIGINT", keys=["id"])
+
+
+@query("""
+    SELECT DISTINCT 'accounts' AS type, c_nationkey::VARCHAR AS nation, 'load' AS outcome FROM customer
+    UNION ALL
+    SELECT CASE n_regionkey WHEN 3 THEN 'archive' ELSE 'ledger' END, n_nationkey::VARCHAR,
+      CASE WHEN n_regionkey IN (1, 3) THEN 'rejected:unreadable' WHEN n_regionkey = 0 THEN 'load'
+        ELSE 'rejected:empty' END
+    FROM nation
+""")
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over sound exports beside files that are no Parquet, no archive, without a byte or a row."""
+    root = scratch_path(spark, "unreadable")
+    _write_parts(_as_exports(spark, sf_dir), f"{root}/accounts.csv", "class_id")
+    region = F.col("n_regionkey")
+    name = F.when(region == 1, "ledger.parquet").when(region == 3, "ledger.zip").otherwise("ledger.csv")
+    text = F.when(region == 2, "").when(region == 4, "id,class_id\n").when(region == 0, F.concat(F.lit("id,class_id\n1,"), "n_nationkey"))
+    files = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n="), "n_nationkey", F.lit("/"), name).alias("place"),
+        F.coalesce(text, F.concat(F.lit("PK"), "n_name")).alias("text"),
+    )
+    _write_files(files, root)
+    found = inspect(spark, [root], [_ACCOUNTS, _LEDGER]).report
+    nation = paths.partition_value(F.concat("unit", F.lit("/")), "n")
+    return found.select("type", F.coalesce(nation, "class_id").alias("nation"), "outcome")
+
+
+def _as_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_mktsegment AS segment", "c_acctbal AS balance", "c_nationkey AS class_id", "c_custkey AS account_id"
+    )
+
+
+_REGISTRY = Contract.of("registry", "class_id STRING, name STRING", keys=["class_id"], multi_class=True)
+
+
+@query("""
+    WITH registered AS (
+      SELECT n_nationkey::VARCHAR AS class_id FROM nation WHERE n_regionkey <> 2
+      UNION SELECT (100 + s_nationkey)::VARCHAR FROM supplier
+    ), loaded AS (SELECT DISTINCT c_nationkey::VARCHAR AS class_id FROM customer WHERE c_nationkey % 3 > 0)
+    SELECT class_id, 'registered_without_data' AS issue FROM registered ANTI JOIN loaded USING (class_id)
+    UNION ALL
+    SELECT class_id, 'data_without_entry' FROM loaded ANTI JOIN registered USING (class_id)
+""")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of a registry without data files, and of data files without an entry."""
+    root = scratch_path(spark, "orphans")
+    _write_parts(_as_exports(spark, sf_dir).filter("class_id % 3 > 0"), f"{root}/accounts.csv", "class_id")
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").selectExpr("n_name AS name", "n_nationkey AS class_id")
+    ghosts = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", "100 + s_nationkey AS class_id")
+    write_csv(nations.unionAll(ghosts), f"{root}/registry.csv")
+    found = inspect(spark, [root], [_ACCOUNTS, _REGISTRY])
+    return find_orphans(found, [_ACCOUNTS, _REGISTRY], "registry")
+
+
+@query(f"""
+    SELECT nation::VARCHAR AS nation, CASE WHEN n_regionkey = 0 THEN 'rejected:no_sibling_data'
+      WHEN n_regionkey IN (1, 2) THEN 'rejected:no_sibling_data' ELSE 'load' END AS outcome,
+      CASE WHEN n_regionkey > 2 THEN nation::VARCHAR END AS class_id
+    FROM ({_OF_NATION}) JOIN nation ON n_nationkey = nation
+""")
+def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder per nation with notes: beside no data, data of two classes, data and a file without a
+    class, or data of one class, which alone makes the notes part of it."""
+    root = scratch_path(spark, "attachments")
+    nations = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation"))
+    nations = nations.agg(F.count("*").alias("n"), F.min("c_custkey").alias("least"))
+    nations = nations.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("nation"))
+    row = F.concat(F.lit("class_id,account_id\n"), "nation", F.lit(","), "least", F.lit("\n"))
+    other = F.concat(F.lit("class_id,id\nother"), "nation", F.lit(","), "n", F.lit("\n"))
+    files = [
+        (F.lit("supplementary/notes.txt"), F.col("n_name"), F.lit(True)),
+        (F.lit("accounts.csv"), row, F.col("n_regionkey") > 0),
+        (F.lit("ledger.csv"), other, F.col("n_regionkey") == 1),
+        (F.lit("registry.csv"), F.lit("class_id\n1\n"), F.col("n_regionkey") == 2),
+    ]
+    each = F.explode(F.array(*[F.when(c, F.struct(p.alias("p"), t.alias("t"))) for p, t, c in files])).alias("f")
+    files = nations.select("nation", each).filter("f IS NOT NULL")
+    place = F.concat(F.lit("n="), "nation", F.lit("/"), "f.p")
+    _write_files(files.select(place.alias("place"), F.col("f.t").alias("text")), root)
+    found = inspect(spark, [root], [_ACCOUNTS, _LEDGER, _REGISTRY]).report
+    nation = paths.partition_value(F.col("unit"), "n").alias("nation")
+    return found.filter("type = 'supplementary'").select(nation, "outcome", "class_id")
 
 
 @query(_MERGED_ACCOUNTS)

@@ -8,10 +8,9 @@ Python only lists members and splits text into cells; types, checks and deduplic
 
 from __future__ import annotations
 
-import csv
-import io
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,60 +19,58 @@ from pyspark.sql import functions as F
 from tidemark.contracts import EXPORT_CONTRACTS, Contract
 from tidemark.scratch import spread_tasks
 from tidemark.sources.catalogue import describe_files
+from tidemark.sources.heads import BROKEN, UNREADABLE, records
+from tidemark.sources.storage import open_file
 
-MEMBERS = "archive_uri string, archive_path string, member_path string, modified timestamp, size bigint"
+MEMBERS = "archive_path string, member_path string, modified timestamp, size bigint, reason string"
 CELLS = "path string, row_no bigint, cells array<string>"
-#: Row number of the header line in :func:`read_members`.
-HEADER_ROW = -1
+#: Row number that says that the rest of a member could not be read; its cells are NULL.
+BROKEN_ROW = -1
 _BATCH_ROWS, _BATCH_CHARS = 8192, 8 * 1024 * 1024
 
 
-def _open(uri: str) -> zipfile.ZipFile:
-    from pyarrow import fs
-
-    filesystem, inner = fs.FileSystem.from_uri(uri)
-    return zipfile.ZipFile(filesystem.open_input_file(inner))
-
-
 def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            with _open(row["archive_uri"]) as archive:
-                files = [info for info in archive.infolist() if not info.is_dir()]
-            n = len(files)
+            names, sizes, reason = [None], [row["size"]], UNREADABLE
+            try:
+                with zipfile.ZipFile(open_file(row["path"])) as archive:
+                    files = [info for info in archive.infolist() if not info.is_dir()]
+                names, sizes, reason = [f.filename for f in files], [f.file_size for f in files], None
+            except BROKEN:
+                pass
+            n = len(names)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["archive_uri"]] * n, pa.string()),
-                    pa.array([row["archive_path"]] * n, pa.string()),
-                    pa.array([info.filename for info in files], pa.string()),
+                    pa.array([row["path"]] * n, pa.string()),
+                    pa.array(names, pa.string()),
                     pa.array([row["modified"]] * n, batch.schema.field("modified").type),
-                    pa.array([info.file_size for info in files], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([reason] * n, pa.string()),
                 ],
-                names=["archive_uri", "archive_path", "member_path", "modified", "size"],
+                names=["archive_path", "member_path", "modified", "size", "reason"],
             )
 
 
 def list_members(files: DataFrame, contracts: Sequence[Contract] = EXPORT_CONTRACTS) -> DataFrame:
-    """Catalogue rows of all non-empty members of the zip archives among ``files`` (path, modified),
-    keyed by archive and member.
+    """Catalogue rows of all members of the zip archives among ``files`` (path, modified, size), keyed by
+    archive and member.
 
-    ``path`` is ``<archive>!/<member>``. Two archives with the same member path stay apart.
+    ``path`` is ``<archive>!/<member>``. Two archives with the same member path stay apart. An archive
+    that can't be read is one row without ``member_path``, with ``reason``.
     """
-    archives = files.filter(F.lower("path").endswith(".zip")).select(
-        F.regexp_replace("path", "^file:/+", "file:///").alias("archive_uri"),
-        F.col("path").alias("archive_path"),
-        "modified",
-    )
-    members = archives.mapInArrow(_list_members, MEMBERS).filter("size > 0")
+    archives = files.filter(F.lower("path").endswith(".zip")).select("path", "modified", "size")
+    members = archives.mapInArrow(_list_members, MEMBERS)
     path = F.concat_ws("!/", "archive_path", "member_path")
     return describe_files(members.withColumn("path", path), contracts)
 
 
 def _cell_batches(path: str, lines: Iterable[list[str]]) -> Iterator[pa.RecordBatch]:
-    """Cells of one member; the header is row -1, empty cells are NULL, blank lines are skipped."""
+    """Cells of one member without its header; empty cells are NULL, blank lines are skipped. What can't
+    be read any further ends with :data:`BROKEN_ROW`."""
     numbers: list[int] = []
-    cells: list[list[str | None]] = []
-    chars, number = 0, HEADER_ROW
+    cells: list[list[str | None] | None] = []
+    chars, number = 0, 0
 
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -85,9 +82,16 @@ def _cell_batches(path: str, lines: Iterable[list[str]]) -> Iterator[pa.RecordBa
             names=["path", "row_no", "cells"],
         )
 
-    for line in lines:
-        if not line:
-            continue
+    lines = iter(lines)
+    while True:
+        try:
+            line = next(lines, None)
+        except BROKEN:
+            numbers.append(BROKEN_ROW)
+            cells.append(None)
+            break
+        if line is None:
+            break
         numbers.append(number)
         cells.append([cell or None for cell in line])
         chars += sum(map(len, line))
@@ -99,25 +103,21 @@ def _cell_batches(path: str, lines: Iterable[list[str]]) -> Iterator[pa.RecordBa
         yield flush()
 
 
+def _member_lines(row: dict) -> Iterator[list[str]]:
+    with zipfile.ZipFile(open_file(row["archive_path"])) as archive, archive.open(row["member_path"]) as raw:
+        yield from islice(records(raw), 1, None)
+
+
 def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    csv.field_size_limit(2**31 - 1)
     for batch in batches:
         for row in batch.to_pylist():
-            with _open(row["archive_uri"]) as archive, archive.open(row["member_path"]) as raw:
-                text = io.TextIOWrapper(raw, "utf-8-sig", errors="replace", newline="")
-                yield from _cell_batches(row["path"], csv.reader(text))
+            yield from _cell_batches(row["path"], _member_lines(row))
 
 
 def read_members(members: DataFrame) -> DataFrame:
-    """(path, row_no, cells) of the CSV members in a :func:`list_members` frame."""
-    wanted = members.filter("format = 'csv'").select("archive_uri", "member_path", "path")
-    return spread_tasks(wanted).mapInArrow(_read_members, CELLS)
-
-
-def member_headers(cells: DataFrame) -> DataFrame:
-    """(path, header) from the rows of :func:`read_members`."""
-    return cells.filter(F.col("row_no") == HEADER_ROW).select("path", F.col("cells").alias("header"))
-
-
-def member_rows(cells: DataFrame) -> DataFrame:
-    return cells.filter(F.col("row_no") != HEADER_ROW)
+    """(path, row_no, cells, record) of the CSV members in a :func:`list_members` frame, as
+    :func:`tidemark.sources.delimited.positional_rows` gives them of loose files."""
+    wanted = members.filter("format = 'csv' AND member_path IS NOT NULL")
+    wanted = wanted.select("archive_path", "member_path", "path")
+    rows = spread_tasks(wanted).mapInArrow(_read_members, CELLS)
+    return rows.withColumn("record", F.lit(None).cast("string"))

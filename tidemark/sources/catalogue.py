@@ -13,8 +13,8 @@ from tidemark.scratch import materialise
 
 
 def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
-    """(path, modified, size) of every non-empty file below ``roots``, as found now. Contents are
-    not read.
+    """(path, modified, size) of every file below ``roots``, as found now. Contents are not read.
+    ``modified`` of an empty file is NULL.
 
     ``path`` is Spark's own URL-encoded file path, the same value that ``_metadata.file_path``
     gives in every other read, so that catalogue and rows join on it.
@@ -23,13 +23,27 @@ def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
     # be listed by hundreds of thousands of tasks. The setting stays in a session of its own.
     listing = spark.newSession()
     listing.conf.set("spark.sql.files.maxPartitionBytes", "64t")
-    files = listing.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    files = files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("_metadata.file_size").alias("size"),
+    found = listing.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
+    files = materialise(
+        found.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_modification_time").alias("modified"),
+            F.col("_metadata.file_size").alias("size"),
+        ),
+        "listing",
+        session=spark,
     )
-    return materialise(files, "listing", session=spark)
+    # A scan passes empty files over, though they are in its listing.
+    named = found._jdf.inputFiles()
+    if len(named) == files.count():
+        return files
+    names = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(named)
+    text = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    listed = DataFrame(spark._jsparkSession.createDataset(names, text), spark)
+    path = F.regexp_replace("value", "^file:/+", "file:/").alias("path")
+    empty = listed.select(path).join(files.select("path"), "path", "left_anti")
+    empty = empty.withColumn("modified", F.lit(None).cast("timestamp")).withColumn("size", F.lit(0).cast("bigint"))
+    return materialise(files.unionByName(empty), "listing", session=spark)
 
 
 def describe_files(

@@ -1,19 +1,25 @@
-"""Parquet reads, footer checks and empty tables."""
+"""Parquet reads, across files of different types, and empty tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import Contract
 from tidemark.functions.casting import conform
-from tidemark.scratch import spread_tasks
+from tidemark.operators.union import diagonal_union
+from tidemark.scratch import materialise
+from tidemark.sources.catalogue import list_files
 from tidemark.sources.delimited import PathFilter
+from tidemark.sources.heads import read_signatures
+from tidemark.sources.storage import reachable
 
-FOOTERS = "path string, header array<string>, kinds array<string>"
+#: Files that one scan is told by name.
+NAMED_PATHS = 10_000
 
 
 class UnknownColumns(ValueError):
@@ -23,53 +29,61 @@ class UnknownColumns(ValueError):
 def read_parquet(
     spark: SparkSession, roots: Iterable[str], contract: Contract | None = None
 ) -> DataFrame:
-    """Parquet files as they are or, given a contract, checked and conformed to it.
+    """Parquet files as one table or, given a contract, checked and conformed to it.
 
-    The check uses file footers only, merged by Spark across files.
+    Files may differ in columns and types. They are grouped by footer, each group is read with its own
+    schema, and the groups are united by name: absent columns are NULL, types widen, text absorbs other
+    types. The footers are read in tasks; in stores that tasks can't open, files must be of types that
+    Spark merges.
     """
+    roots = list(roots)
+    files = _read_signatures(spark, roots)
+    if files is None:
+        rows = spark.read.option("mergeSchema", True).parquet(*roots)
+    else:
+        parted = F.col("path").rlike("/[^/=]+=[^/]*/[^/]+$")
+        kinds = files.groupBy("signature").agg(
+            F.min("path").alias("first"), F.count("*").alias("files"), F.bool_or(parted).alias("parted")
+        )
+        kinds = kinds.orderBy("first").collect()
+        # Spark finds either partition columns or files in folders of any name.
+        deep = not any(kind.parted for kind in kinds)
+        reader = spark.read.option("recursiveFileLookup", deep)
+        if len(kinds) < 2:
+            rows = reader.parquet(*roots)
+        else:
+            parts = [part for kind in kinds for part in _of_kind(spark, roots, files, kind, deep)]
+            rows = diagonal_union(*parts)
     if contract is None:
-        return spark.read.parquet(*roots)
-    rows = spark.read.option("mergeSchema", True).parquet(*roots)
+        return rows
     unknown = sorted(set(rows.columns) - set(contract.names))
     if unknown:
         raise UnknownColumns(f"{contract.name}: columns outside the contract: {', '.join(unknown)}")
     return conform(rows, contract)
 
 
-def _kind(field: pa.DataType) -> str:
-    if pa.types.is_string(field) or pa.types.is_large_string(field):
-        return "string"
-    if pa.types.is_signed_integer(field):
-        return "bigint"
-    if pa.types.is_floating(field):
-        return "double"
-    return "boolean" if pa.types.is_boolean(field) else str(field)
-
-
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    for batch in batches:
-        paths = batch.column("path").to_pylist()
-        schemas = []
-        for path in paths:
-            filesystem, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1))
-            with filesystem.open_input_file(inner) as file:
-                schemas.append(pq.read_schema(file))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(paths, pa.string()),
-                pa.array([s.names for s in schemas], pa.list_(pa.string())),
-                pa.array([[_kind(t) for t in s.types] for s in schemas], pa.list_(pa.string())),
-            ],
-            names=["path", "header", "kinds"],
-        )
-
-
-def read_footers(files: DataFrame) -> DataFrame:
-    """(path, header, kinds): column names and types of each Parquet file, from its footer alone."""
-    return spread_tasks(files.select("path")).mapInArrow(_footers, FOOTERS)
+def _read_signatures(spark: SparkSession, roots: list[str]) -> DataFrame | None:
+    """(path, signature) of the files that hold rows, None if tasks can't open them."""
+    files = list_files(spark, roots).filter(F.col("size") > 0)
+    if not files.filter(~reachable(F.col("path"))).isEmpty():
+        return None
+    return materialise(read_signatures(files), "signatures")
+
+
+def _of_kind(
+    spark: SparkSession, roots: list[str], files: DataFrame, kind: Row, deep: bool
+) -> Iterator[DataFrame]:
+    """The rows of all files with one footer, in their own types. A scan opens only files it is told."""
+    first = re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(kind.first))
+    schema = spark.read.parquet(first).schema
+    mine = files.filter(F.col("signature") == kind.signature)
+    turns = 1 + kind.files // NAMED_PATHS
+    for turn in range(turns):
+        named = mine.filter(F.pmod(F.xxhash64("path"), F.lit(turns)) == turn)
+        named = [row.path for row in named.select("path").collect()]
+        if named:
+            rows = spark.read.schema(schema).option("recursiveFileLookup", deep).parquet(*roots)
+            yield rows.filter(F.col("_metadata.file_path").isin(named))
 
 
 def text_rows(

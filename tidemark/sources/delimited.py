@@ -6,8 +6,8 @@ each row which cell belongs to which contract column. There is one scan per tabl
 header variants exist, no list of paths on the driver, and no shuffle of rows while the header
 table is small enough to broadcast (it is counted first).
 
-A row is *ragged* if there is text in the cell after the last one of its file's header. Its cells are
-in doubt, so such rows are never cut to fit without a word: :func:`bind` marks them.
+A row is *ragged* if there is text in any cell after the last one of its file's header, however far
+out. Its cells are in doubt, so such rows are never cut to fit without a word: :func:`bind` marks them.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ CSV_OPTIONS = {"header": True, "escape": '"', "enforceSchema": True, "recursiveF
 
 PathFilter = Callable[[Column], Column]
 
+_RECORD = "_record"
+
 
 def everything(path: Column) -> Column:
     return F.lit(True)
@@ -97,7 +99,8 @@ def positional_rows(
     multiline: bool = True,
     numbered: bool = False,
 ) -> DataFrame:
-    """(path, [row_no], cells) of whole files; ``row_no`` rises within each file.
+    """(path, [row_no], cells, record) of whole files; ``row_no`` rises within each file. ``record`` is
+    the text of a row that may have more than ``width`` cells, of others NULL.
 
     ``multiline`` allows line breaks inside quotes and streams each file through one task, however
     large it is: where a record starts depends on all quotes before it. Switch it off for exports
@@ -105,16 +108,32 @@ def positional_rows(
     two, neither the size of a file nor that of the cluster.
     """
     names = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _RECORD]])
     rows = (
         spark.read.schema(schema)
-        .options(**CSV_OPTIONS, multiLine=multiline)
+        .options(**CSV_OPTIONS, multiLine=multiline, columnNameOfCorruptRecord=_RECORD)
         .csv(list(roots))
         .filter(wanted(F.col("_metadata.file_path")))
     )
     number = ["monotonically_increasing_id() AS row_no"] if numbered else []
     cells = f"array({', '.join(names)}) AS cells"
-    return rows.selectExpr("_metadata.file_path AS path", *number, cells)
+    # Spark notes the text of every row of another width; short rows are told by their commas.
+    commas = f"length({_RECORD}) - length(replace({_RECORD}, ',', ''))"
+    record = f"CASE WHEN {commas} >= {width} THEN {_RECORD} END AS record"
+    return rows.selectExpr("_metadata.file_path AS path", *number, cells, record)
+
+
+#: The cells of ``record``, text in quotes being an x: enough to see which have text.
+_SPLIT = r"""
+    split(regexp_replace(regexp_replace(record, '(^|,)""(?=,|$)', '$1'), '"[^"]*"', 'x'), ',', -1)
+"""
+
+#: Whether there is text past the ``last_place`` cells of a header: among the cells, or past them.
+RAGGED = rf"""
+    exists(slice(cells, last_place + 1, size(cells)), cell -> cell IS NOT NULL)
+    OR (record IS NOT NULL AND exists(
+        slice({_SPLIT}, greatest(size(cells), last_place) + 1, length(record) + 1), cell -> cell <> ''))
+"""
 
 
 def bind(
@@ -124,7 +143,7 @@ def bind(
     keep: Sequence[str] = ("path",),
     files: int | None = None,
 ) -> DataFrame:
-    """Rows of (path, cells) as ``keep``, one text column per contract column, in its order, and
+    """Rows of (path, cells, record) as ``keep``, one text column per contract column, in its order, and
     ``ragged``. Rows of files that ``headers`` lacks are left out.
 
     ``headers`` (path, header) must be materialised: its rows are counted, unless the number of
@@ -137,8 +156,7 @@ def bind(
         f"try_element_at(cells, nullif(places[{i}], 0)) AS `{name}`"
         for i, name in enumerate(contract.names)
     ]
-    ragged = "try_element_at(cells, last_place + 1) IS NOT NULL AS ragged"
-    return joined.selectExpr(*keep, *cells, ragged)
+    return joined.selectExpr(*keep, *cells, f"{RAGGED} AS ragged")
 
 
 def refuse_ragged(rows: DataFrame) -> DataFrame:
@@ -185,8 +203,8 @@ def bound_rows(
 
 
 def reach(headers: DataFrame, contract: Contract) -> int:
-    """How many cells of a row are needed: up to the last contract column of any file, and one more
-    to see ragged rows. Columns of no contract beyond that do not widen the scan."""
+    """How many cells of a row are needed: up to the last contract column of any file, and one more.
+    Columns of no contract beyond that do not widen the scan."""
     last = with_places(headers, contract).agg(F.max(F.array_max("places"))).first()[0]
     return (last or 0) + 1
 
