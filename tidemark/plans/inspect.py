@@ -269,7 +269,7 @@ def _stage(
     if not loaded:
         return empty
     usable = heads.filter(F.col("reason").isNull())
-    manifest = materialise(_manifest(usable, loaded, buckets), "manifest")
+    manifest = _manifest(usable, loaded, buckets)
     counts = manifest.groupBy("type").agg(
         F.count_if("typed").alias("typed"),
         F.count_if("inside").alias("inside"),

@@ -46,8 +46,15 @@ def broadcast_if_small(
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def spread_tasks(df: DataFrame) -> DataFrame:
-    """Spread rows that each stand for much work over tasks. The number of partitions is fixed,
-    since adaptive execution would merge a table so small into one."""
-    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(tasks, df.limit(tasks).count())))
+#: What one task is given at most: rows that each stand for a file, and bytes of these files.
+TASK_FILES, TASK_BYTES = 1000, 64 << 20
+
+
+def spread_tasks(df: DataFrame, size: str | None = None) -> DataFrame:
+    """Spread rows that each stand for a file over tasks: by their number and, given the column ``size``,
+    by the bytes to read. The number of partitions is fixed, since adaptive execution would merge a table
+    so small into one."""
+    total = F.sum(size) if size else F.lit(0)
+    rows, weight = df.agg(F.count("*"), F.coalesce(total, F.lit(0))).first()
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, rows // TASK_FILES, weight // TASK_BYTES)
+    return df.repartition(max(1, min(tasks, rows)))

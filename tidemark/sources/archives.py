@@ -60,7 +60,7 @@ def list_members(files: DataFrame, contracts: Sequence[Contract] = EXPORT_CONTRA
     that can't be read is one row without ``member_path``, with ``reason``.
     """
     archives = files.filter(F.lower("path").endswith(".zip")).select("path", "modified", "size")
-    members = archives.mapInArrow(_list_members, MEMBERS)
+    members = spread_tasks(archives).mapInArrow(_list_members, MEMBERS)
     path = F.concat_ws("!/", "archive_path", "member_path")
     return describe_files(members.withColumn("path", path), contracts)
 
@@ -118,6 +118,6 @@ def read_members(members: DataFrame) -> DataFrame:
     """(path, row_no, cells, record) of the CSV members in a :func:`list_members` frame, as
     :func:`tidemark.sources.delimited.positional_rows` gives them of loose files."""
     wanted = members.filter("format = 'csv' AND member_path IS NOT NULL")
-    wanted = wanted.select("archive_path", "member_path", "path")
-    rows = spread_tasks(wanted).mapInArrow(_read_members, CELLS)
+    wanted = wanted.select("archive_path", "member_path", "path", "size")
+    rows = spread_tasks(wanted, "size").mapInArrow(_read_members, CELLS)
     return rows.withColumn("record", F.lit(None).cast("string"))
