@@ -1,11 +1,14 @@
 """Whole texts as byte arrays: words, shingles and their 64-bit hashes, vectorised over many rows.
 
 A hash stands for the word or word sequence it was made of. Hashes are 64 bits wide, so among ``n``
-different sequences about ``n * n / 2**65`` pairs are mistaken for each other.
+different sequences about ``n * n / 2**65`` pairs are mistaken for each other. Words of up to
+:data:`LONG_WORD` bytes are hashed by a polynomial modulo 2**64, for which there are words of a thousand
+bytes and more that collide by construction; longer ones are hashed one by one with BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +19,8 @@ import pyarrow.compute as pc
 PIECE = 2 << 20
 #: Bytes that are hashed at once; a running hash takes some 40 bytes of memory for each.
 HASH_PIECE = 1 << 20
+#: Bytes of a word from which a polynomial is no longer safe.
+LONG_WORD = 128
 
 _rng = np.random.default_rng(20240607)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +105,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by differences of one running polynomial."""
+    """A 64-bit hash of each span of bytes, by differences of one running polynomial if it is short."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -112,7 +117,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         lo, hi = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (running[hi] - running[lo]) * _powers(_ODD_INVERSE, len(part) + 1)[lo]
         i = j
-    return mix(out)
+    out = mix(out)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        whole = hashlib.blake2b(np.ascontiguousarray(data[starts[k] : ends[k]]), digest_size=8).digest()
+        out[k] = int.from_bytes(whole, "little")
+    return out
 
 
 def word_hashes(
