@@ -51,23 +51,41 @@ def token_trie(tokens: list[bytes]) -> tuple[dict[int, int], list[int]]:
     return children, ends
 
 
+def _under_way(span: bytes, at: int, get, longest: int) -> list[tuple[int, int]]:
+    """Tokens that may have begun before ``at`` and reach beyond it: their nodes there, and their starts."""
+    found = []
+    for start in range(max(0, at - longest), at):
+        node = 0
+        for byte in span[start:at]:
+            node = get(node << 8 | byte)
+            if node is None:
+                break
+        else:
+            found.append((node, start))
+    return found
+
+
 def count_tokens_sorted(
-    spans: list[bytes], children: dict[int, int], ends: list[int]
+    spans: list[bytes], children: dict[int, int], ends: list[int], longest: int
 ) -> list[int]:
-    """The token count of each of the ascending ``spans``."""
+    """The token count of each of the ascending ``spans``; no token has more than ``longest`` bytes.
+
+    Scores are kept for the bytes of one span. Tokens under way are kept for the current byte alone, and
+    found again where the next span leaves the prefix that it shares.
+    """
     score, count = [0], [0]
-    reach: list[list[tuple[int, int]]] = [[]]  # at each depth: token prefixes under way, their starts
     out, before = [], b""
     get = children.get
     for span in spans:
         depth, most = 0, min(len(span), len(before))
         while depth < most and span[depth] == before[depth]:
             depth += 1
-        del score[depth + 1 :], count[depth + 1 :], reach[depth + 1 :]
+        del score[depth + 1 :], count[depth + 1 :]
+        reach = _under_way(span, depth, get, longest) if depth < len(span) else []
         for at in range(depth, len(span)):
             byte = span[at]
             open_here, best, fewest = [], None, 0
-            for node, start in [*reach[at], (0, at)]:
+            for node, start in [*reach, (0, at)]:
                 node = get(node << 8 | byte)
                 if node is None:
                     continue
@@ -79,7 +97,7 @@ def count_tokens_sorted(
                         best, fewest = value, n
             score.append(best)
             count.append(fewest)
-            reach.append(open_here)
+            reach = open_here
         out.append(count[len(span)])
         before = span
     return out
@@ -87,17 +105,18 @@ def count_tokens_sorted(
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_pretokens`` and ``n_tokens`` of each whole text."""
+    tokens = read_ranks(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (*token_trie(read_ranks(vocabulary)), character_classes())
+        (*token_trie(tokens), max(map(len, tokens)), character_classes())
     )
 
     def start() -> rows.Make:
-        children, ends, classes = shared.value
+        children, ends, longest, classes = shared.value
 
         def work(spans: list[bytes], _: np.ndarray) -> list[list[int]]:
             order = sorted(range(len(spans)), key=spans.__getitem__)
             out: list[list[int]] = [[]] * len(spans)
-            counts = count_tokens_sorted([spans[i] for i in order], children, ends)
+            counts = count_tokens_sorted([spans[i] for i in order], children, ends, longest)
             for i, n in zip(order, counts, strict=True):
                 out[i] = [n]
             return out
