@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 tiktoken = pytest.importorskip("tiktoken")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -18,7 +19,7 @@ import corpus_pipeline  # noqa: E402
 from tidemark.llm import bpe, language, lm, near, pii, quality, substrings, trie, unigram  # noqa: E402
 from tidemark.llm import text as tx  # noqa: E402
 from tidemark.llm.decontaminate import count_items, find_items  # noqa: E402
-from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next  # noqa: E402
+from tidemark.llm.fingerprints import BINS, BITS, add_fingerprint, compare_edited, likeness  # noqa: E402
 from tidemark.llm.pretokens import character_classes, pretoken_spans  # noqa: E402
 from tidemark.llm.queries import BYTE_BPE, ORACLES, QUERIES  # noqa: E402
 from tidemark.llm.samples import labelled_sample  # noqa: E402
@@ -53,6 +54,8 @@ def texts():
             out.append("\n".join(w))
     passage = base[0]
     out += [f"{rng.choice(base)}  {passage} {rng.choice(base)}" for _ in range(5)]
+    # Words that collide under any polynomial modulo 2**64.
+    out += ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(2048)) for flip in (0, 1)]
     out += [None, "", "  \n ", "one", "One", "a b c", "12 ... 34", "x" * 3000, base[0].upper()]
     out.append(" ".join(base) * 20)
     return out
@@ -114,11 +117,13 @@ def test_bpe_equals_tiktoken(spark, docs, nothing):
     assert [r.decoded for r in bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), BYTE_BPE).collect()] == [b""]
 
 
-def best_count(span, scores):
+def best_count(span, scores, longest=128):
     best = [(0, 0)]
     for end in range(1, len(span) + 1):
         options = [
-            (best[s][0] - scores[span[s:end]], best[s][1] + 1) for s in range(end) if span[s:end] in scores
+            (best[s][0] - scores[span[s:end]], best[s][1] + 1)
+            for s in range(max(0, end - longest), end)
+            if span[s:end] in scores
         ]
         best.append(min(options))
     return best[-1][1]
@@ -132,8 +137,13 @@ def test_token_counts(docs, nothing):
         data, offsets = tx.text_bytes(pa.array([row.text], pa.string()))
         starts, ends, _ = pretoken_spans(data, offsets, classes)
         spans = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        if len(spans) < 200 and max(map(len, spans), default=0) < 50:
+        if len(spans) < 200:
             assert (row.n_pretokens, row.n_tokens) == (len(spans), sum(best_count(s, scores) for s in spans))
+    assert max(map(len, tokens)) <= 128
+    children, ends = unigram.token_trie(tokens)
+    many = [b"=" * 30_000, b"=" * 30_000 + b"-", b"=" * 29_000 + b"ab", *[b"ab" * n for n in range(1, 90)], b"absolutely"]
+    counts = unigram.count_tokens_sorted(sorted(many), children, ends, 128)
+    assert counts == [best_count(s, scores) for s in sorted(many)]
     assert unigram.count_tokens(nothing, BYTE_BPE).count() == 0
 
 
@@ -236,6 +246,28 @@ def test_sequences(n, top):
     asked = np.concatenate([values, rng.integers(0, max(2, top), 500, dtype=np.uint64)])
     place = {v: i for i, v in enumerate(values.tolist())}
     assert trie.Sequence.of(values).find(asked).tolist() == [place.get(x, -1) for x in asked.tolist()]
+    if n and top < 1 << 63:  # the unary part is as long as the greatest upper part
+        sequence = trie.Sequence.of(values)
+        assert sequence.get(np.arange(len(values))).tolist() == values.tolist()
+        some = rng.integers(0, len(values), 300)
+        assert sequence.get(some).tolist() == values[some].tolist()
+
+
+def test_tries():
+    rng = np.random.default_rng(11)
+    grams = np.unique(
+        np.stack([rng.integers(0, 300, 9000) ** 2, rng.integers(0, 500, 9000)], axis=1).astype(np.uint64), axis=0
+    )
+    codes = rng.integers(1, 900, len(grams)).astype(trie.CODE)
+    asked = np.concatenate([grams, rng.integers(0, 90_000, (3000, 2)).astype(np.uint64)])
+    asked = asked[np.lexsort((asked[:, 1], asked[:, 0]))]
+    known = {tuple(g): c for g, c in zip(grams.tolist(), codes.tolist(), strict=True)}
+    for some in (grams, grams[:1], grams[:0]):
+        built = trie.Trie.of(some[:, 0], some[:, 1], codes[: len(some)]).mapped()
+        got = built.look_up(asked[:, 0], asked[:, 1]).tolist()
+        kept = set(map(tuple, some.tolist()))
+        assert got == [known[tuple(g)] if tuple(g) in kept else 0 for g in asked.tolist()]
+        assert not len(built.look_up(asked[:0, 0], asked[:0, 1]))
 
 
 def test_fingerprints(docs, nothing):
@@ -243,17 +275,64 @@ def test_fingerprints(docs, nothing):
     by_text = {}
     for r in rows:
         assert by_text.setdefault(r.text or "", bytes(r.fingerprint)) == bytes(r.fingerprint)
-    pairs = with_next(add_fingerprint(docs.na.fill("", ["text"]).select("doc_id", "text")), ["text", "fingerprint"])
-    errors = []
-    for r in pairs.withColumn("near", likeness("fingerprint", "next_fingerprint")).collect():
-        a, b = shingles(r.text), shingles(r.next_text)
-        errors.append(abs(r.near - (len(a & b) / len(a | b) if a | b else 1)))
+    given = [(r.doc_id, r.text or "") for r in docs.collect()]
+    named = sorted((r for r in given if r[0] is not None), key=lambda r: (r[0], r[1].encode()), reverse=True)
+    follows = list(zip(named, [*named[1:], named[0]], strict=True))
+    follows += [(r, named[0]) for r in given if r[0] is None]
+    errors, want = [], Counter()
+    for (doc_id, text), (_, after) in follows:
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        want[doc_id, len(text), edited, naive_print(text), naive_print(edited)] += 1
+    got = compare_edited(docs).collect()
+    assert Counter((*tuple(r)[:3], bytes(r.fingerprint), bytes(r.edited_fingerprint)) for r in got) == want
+    near = {}
+    for (doc_id, text), (_, after) in follows:
+        near.setdefault((doc_id, len(text), naive_print(text)), set()).add(after)
+    for r in got:
+        a = by_text_of(given, r)
+        for likeness_of, others in ((r.near_edited, {r.edited}), (r.near_next, near[r.doc_id, r.n_chars, bytes(r.fingerprint)])):
+            errors.append(min(abs(likeness_of - jaccard(a, b)) for b in others))
     assert max(errors) < 0.2 and sum(errors) / len(errors) < 0.03
-    order = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()), reverse=True)
-    want = Counter(zip(order, [*order[1:], order[0]], strict=True))
-    got = Counter(((r.doc_id if r.doc_id is not None else -1, r.text), r.next_text) for r in pairs.collect())
-    assert got == Counter({(a, b[1]): n for (a, b), n in want.items()})
-    assert with_next(nothing.select("doc_id", "text"), ["text"]).count() == 0
+    pairs = add_fingerprint(docs.where("doc_id < 40").select("doc_id", "text")).withColumn("none", F.lit(None).cast("binary"))
+    alike = pairs.select("text", likeness("fingerprint", "fingerprint").alias("x"), likeness("fingerprint", "none").alias("y"))
+    assert {(r.x, r.y) for r in alike.collect()} == {(1.0, None)}
+    assert compare_edited(nothing).count() == 0
+    alone = compare_edited(docs.where("doc_id IS NULL")).collect()
+    assert len(alone) == 2 and all(r.near_next == 1 for r in alone)
+
+
+def by_text_of(given, row):
+    return next(t for i, t in given if i == row.doc_id and naive_print(t) == bytes(row.fingerprint))
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1
+
+
+def naive_print(text):
+    """The fingerprint bin by bin, from the hash of each shingle alone."""
+    data, offsets = tx.text_bytes(pa.chunked_array([[text]]))
+    hashes = [int(h) for h in tx.shingle_sets(data, offsets)[0]]
+    if not hashes:
+        return b""
+    least = {}
+    for h in hashes:
+        place = h >> (65 - BINS.bit_length())
+        least[place] = min(h, least.get(place, h))
+    filled = dict(least)
+    for place in range(BINS):
+        attempt = 0
+        while place not in filled:
+            number = (place + attempt * BINS + 1) * 0x9E3779B97F4A7C15 % 2**64
+            source = int(tx.mix(np.array([number], np.uint64))[0]) % BINS
+            if source in least:
+                filled[place] = least[source]
+            attempt += 1
+    low = [int(tx.mix(np.array([filled[p]], np.uint64))[0]) % 2**BITS for p in range(BINS)]
+    digits = "".join(f"{x:0{BITS}b}" for x in low)
+    return int(digits, 2).to_bytes(len(digits) // 8, "big")
 
 
 def test_decontamination(spark, docs, texts, nothing):

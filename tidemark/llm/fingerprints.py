@@ -14,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks, rows
 from tidemark.llm import text as tx
+from tidemark.scratch import broadcast_if_small, materialise
 
 BINS = 256
 BITS = 4
@@ -66,45 +68,119 @@ def add_fingerprint(
     return rows.add_columns(docs, text, f"{name} binary", lambda: make)
 
 
+def compare(left: list[bytes], right: list[bytes], bits: int = BITS) -> np.ndarray:
+    """The estimated Jaccard similarity of each pair of fingerprints, 0 to 1."""
+    size = max(map(len, [*left, *right]), default=0)
+    if not size:
+        return np.ones(len(left))
+    full = [np.array([len(x) == size for x in side]) for side in (left, right)]
+    table = [
+        np.frombuffer(b"".join(x if len(x) == size else bytes(size) for x in side), np.uint8).reshape(-1, size)
+        for side in (left, right)
+    ]
+    differ = np.unpackbits(table[0] ^ table[1], axis=1).reshape(len(left), -1, bits).any(2).mean(1)
+    near = np.maximum(0.0, 1 - differ / (1 - 0.5**bits))
+    # A text without words is like another one of them, and like no other text.
+    return np.where(full[0] & full[1], near, (full[0] == full[1]).astype(float))
+
+
 def likeness(a: str, b: str, bits: int = BITS) -> Column:
     """The estimated Jaccard similarity of two binary fingerprints, 0 to 1; null if one is null."""
 
     @F.arrow_udf("double")
-    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = []
-            for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                if x is None or y is None:
-                    out.append(None)
-                elif len(x) != len(y) or not x:
-                    out.append(float(x == y))
-                else:
-                    u, v = (np.frombuffer(z, np.uint8) for z in (x, y))
-                    differ = np.unpackbits(u ^ v).reshape(-1, bits).any(1).mean()
-                    out.append(max(0.0, 1 - differ / (1 - 0.5**bits)))
-            yield pa.array(out, pa.float64())
-
-    return compare(F.col(a), F.col(b))
-
-
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(doc_id, text, ...) with ``next_<column>`` of the next row in descending (doc_id, text).
-
-    The last row is followed by the first; null ids come last, null texts count as empty. Only rows
-    of one block of ids are sorted together; the first row of a block is also sent to the block above.
+            known = pc.and_(pc.is_valid(left), pc.is_valid(right)).to_numpy(zero_copy_only=False)
+            pairs = [side.fill_null(b"").to_pylist() for side in (left, right)]
+            yield pa.array(compare(*pairs, bits), pa.float64(), mask=~known)
+
+    return near(F.col(a), F.col(b))
+
+
+EDITED = (
+    "doc_id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, "
+    "near_edited double, near_next double"
+)
+
+
+def _edit(texts: list[str], nexts: list[str]) -> list[str]:
+    """The last third of each text replaced by as many characters of the next one's beginning."""
+    return [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, nexts, strict=True)]
+
+
+def _prints(texts: list[str], bins: int, bits: int) -> list[bytes]:
+    data, offsets = tx.text_bytes(pa.array(texts, pa.large_string()))
+    found = []
+    for a, b in tx.pieces(offsets):
+        part = data[offsets[a] : offsets[b]]
+        found += pack_bins(*tx.shingle_sets(part, offsets[a : b + 1] - offsets[a]), bins, bits)
+    return found
+
+
+def _edited_rows(ids: list, texts: list[str], nexts: list[str], prints, last_print, bins: int, bits: int) -> pa.Table:
+    edited = _edit(texts, nexts)
+    mine, theirs = prints[: len(texts)], _prints(edited, bins, bits)
+    columns = [
+        pa.array(ids, pa.int64()),
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array(edited, pa.string()),
+        pa.array(mine, pa.binary()),
+        pa.array(theirs, pa.binary()),
+        pa.array(compare(mine, theirs, bits)),
+        pa.array(compare(mine, last_print, bits)),
+    ]
+    return pa.table(columns, names=[c.split()[0] for c in EDITED.split(", ")])
+
+
+def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:
+    """:data:`EDITED` of each whole text: its last third replaced by the beginning of the next document, the
+    fingerprints of both, and how like its fingerprint is to the edited text's and the next document's.
+
+    The next document is the next row in descending (id, text); the last is followed by the first. A row
+    without an id has no place in that order: it is followed by the first row, or by itself if no row has an id.
+    Rows that repeat follow one another. Null texts count as empty. Columns other than id and text are
+    left out, so names in them can't clash.
+
+    Rows are dealt into blocks of ids, and a block holds all it needs: its own rows and, behind them, the
+    first row of the block below. So each text is sent once, and read once for all that is wanted of it.
     """
-    dealt, _, _ = blocks.deal(docs, "doc_id", "text")
-    fields = [c for c in dealt.columns if c != "block"]
-    top = dealt.agg(F.max("block")).first()[0]
-    first = dealt.groupBy("block").agg(F.max(F.struct(*fields)).alias("first"))
-    guests = first.select(
-        "first.*", F.when(F.col("block") == F.lit(top), 0).otherwise(F.col("block") + 1).alias("block")
-    )
-    both = dealt.withColumn("guest", F.lit(False)).unionByName(
-        guests.withColumn("guest", F.lit(True))
-    )
-    order = Window.partitionBy("block").orderBy(
-        "guest", F.desc_nulls_last("doc_id"), *[F.desc(c) for c in fields if c != "doc_id"]
-    )
-    nexts = {f"next_{c}": F.lead(c).over(order) for c in columns}
-    return both.withColumns(nexts).where("NOT guest").drop("guest", "block")
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole)
+    named = texts.where("doc_id IS NOT NULL")
+    dealt, _, _ = blocks.deal(named, "doc_id", "text")
+    tops = materialise(dealt.groupBy("block").agg(F.max("doc_id").alias("doc_id")), "tops")
+    top = tops.agg(F.max("block")).first()[0]
+    heads = dealt.join(broadcast_if_small(tops), ["block", "doc_id"], "left_semi")
+    heads = heads.groupBy("block", "doc_id").agg(F.max("text").alias("text"))
+    above = F.when(F.col("block") == F.lit(top), 0).otherwise(F.col("block") + 1)
+    guests = heads.select("doc_id", "text", above.alias("block"), F.lit(True).alias("guest"))
+    both = dealt.withColumn("guest", F.lit(False)).unionByName(guests)
+
+    def one_block(key: tuple, table: pa.Table) -> pa.Table:
+        ids, texts = table.column("doc_id").to_numpy(), table.column("text").to_pylist()
+        guest = table.column("guest").to_numpy()
+        order = np.argsort(-ids, kind="stable")
+        order = order[np.argsort(guest[order], kind="stable")]
+        if len(np.unique(ids)) < len(ids):
+            order = sorted(order, key=lambda i: texts[i].encode(), reverse=True)
+            order = sorted(order, key=lambda i: (guest[i], -ids[i]))
+        ids, texts = ids[order], [texts[i] for i in order]
+        prints, n = _prints(texts, bins, bits), int((~guest).sum())
+        return _edited_rows(ids[:n], texts[:n], texts[1 : n + 1], prints, prints[1 : n + 1], bins, bits)
+
+    found = both.groupBy("block").applyInArrow(one_block, EDITED)
+    nameless = texts.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return found
+    # One text, that of the first row of all.
+    first = heads.where(F.col("block") == F.lit(top)).select("text").first() if top is not None else None
+
+    def without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            nexts = [first.text] * len(texts) if first else texts
+            prints = _prints(texts, bins, bits)
+            last = _prints([first.text], bins, bits) * len(texts) if first else prints
+            yield from _edited_rows([None] * len(texts), texts, nexts, prints, last, bins, bits).to_batches()
+
+    return found.unionByName(nameless.mapInArrow(without_id, EDITED))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, language, pii, quality, unigram, whitening
 from tidemark.llm.audit import audit_quality
 from tidemark.llm.decontaminate import find_items
-from tidemark.llm.fingerprints import add_fingerprint, likeness, with_next
+from tidemark.llm.fingerprints import compare_edited
 from tidemark.llm.lm import score_texts
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.substrings import remove_repeats
@@ -143,27 +143,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(add_fingerprint(docs), ["text", "fingerprint"])
-    size = F.length("text")
-    moved = F.floor(size / 3).cast("int")
-    edited = rows.select(
-        "doc_id",
-        size.cast("long").alias("n_chars"),
-        F.concat(
-            F.substring("text", F.lit(1), size - moved), F.substring("next_text", F.lit(1), moved)
-        ).alias("edited"),
-        "fingerprint",
-        "next_fingerprint",
-    )
-    return add_fingerprint(edited, "edited", "edited_fingerprint").select(
+    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 
