@@ -9,7 +9,7 @@ from tidemark.llm import bpe, language, pii
 from tidemark.llm.decontaminate import count_items
 from tidemark.llm.near import near_duplicates
 from tidemark.llm.queries import BYTE_BPE
-from tidemark.scratch import materialise
+from tidemark.scratch import broadcast_if_small, materialise
 
 #: A document is rejected whose best language has less than this mean probability. Chance alone gives
 #: a quarter among four languages, so texts in two of them stay.
@@ -39,22 +39,33 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+#: Pairs of 16 bytes that are handed to every task at most, to keep texts from being shuffled for them.
+BROADCAST_PAIRS = 2_000_000
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class, that of the least id; of its equal rows, one. Rows without an id stay.
 
-    Rows that repeat an id are documents of their own, so rows are told apart by id and text.
+    Rows that repeat an id are documents of their own, so rows are told apart by id and text. Which rows go
+    is a list of pairs (id, hash of the text). It is counted, and up to :data:`BROADCAST_PAIRS` of them
+    are broadcast; more are joined by shuffle.
     """
     _bound_batches(spark)
     key = ["doc_id", "text_hash"]
-    rows = near_duplicates(docs, stays=True).where("doc_id IS NOT NULL")
+    # The decisions keep clear of columns that happen to have their names.
+    texts = docs.select("doc_id", "text")
+    rows = near_duplicates(texts, stays=True).where("doc_id IS NOT NULL")
     act = rows.groupBy(*key).agg(F.bool_and("stays").alias("stays"), F.count("*").alias("copies"))
     act = materialise(act.where("NOT stays OR copies > 1"), "duplicates")
-    kept = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = kept.join(act.where("NOT stays").select(*key), key, "left_anti")
-    again = act.where("stays").select(*key)
+    names = {c: f"_{c}" for c in key}
+    act = act.withColumnsRenamed(names)
+    gone = broadcast_if_small(act.where("NOT stays").select(*names.values()), BROADCAST_PAIRS)
+    again = broadcast_if_small(act.where("stays").select(*names.values()), BROADCAST_PAIRS)
+    same = (F.col("_doc_id") == docs["doc_id"]) & (F.col("_text_hash") == F.xxhash64(docs["text"]))
+    kept = docs.join(gone, same, "left_anti")
     if not again.isEmpty():
-        one = kept.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, key, "left_anti").unionByName(one)
+        one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, same, "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
 
