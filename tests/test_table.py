@@ -113,12 +113,15 @@ def test_only_files_with_contested_keys_are_rewritten(spark, ranges):
     assert read_table(spark, ranges).count() == 1003
 
 
-def test_files_out_of_range_are_not_read(spark, ranges):
+def test_files_out_of_range_are_not_read(spark, ranges, monkeypatch):
     files = t._current(spark, ranges).files
-    fresh = spark.createDataFrame([(10, 1, "x"), (260, 1, "y")], ROWS)
-    near = t._may_hold(files, fresh, ["k"])
-    assert 0 < len(near) < len(files)
-    assert {int(f.low) // 250 for f in near} == {0, 1}
+    fresh = spark.createDataFrame([(10, 1, "x"), (760, 1, "y")], ROWS)
+    for most, want in ((10_000, {0, 3}), (1, {0, 1, 2, 3})):
+        monkeypatch.setattr(t, "NAMED_KEYS", most)
+        near = t._may_hold(files, fresh, ["k"])
+        assert {int(f.low) // 250 for f in near} == want and (len(near) < len(files)) == (most > 1)
+    fresh = spark.createDataFrame([(260, 1, "x"), (300, 1, "y")], ROWS)
+    assert {int(f.low) // 250 for f in t._may_hold(files, fresh, ["k"])} == {1}
     assert t._may_hold(files, spark.createDataFrame([(None, 1, "x")], ROWS), ["k"]) == ()
     merge_into(spark.createDataFrame([(None, 1, "n")], ROWS), ranges, ["k"], ["at"])
     merge_into(spark.createDataFrame([(None, 2, "m")], ROWS), ranges, ["k"], ["at"])

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ SMALL_BYTES, MAX_SMALL = 16 << 20, 32
 KEEP_VERSIONS = 10
 #: Names of past batches that a commit carries on. A stream replays its last batch alone.
 BATCH_NAMES = 1000
+#: First keys of a batch that the driver compares with the ranges of files one by one.
+NAMED_KEYS = 10_000
 #: Longer ends of a range are not noted: such a file may hold any key.
 _LONGEST_KEY = 200
 #: How often a merge starts again from what another writer has committed meanwhile.
@@ -171,20 +174,29 @@ def _comparable(kind: T.DataType) -> bool:
 
 
 def _may_hold(files: Iterable[File], fresh: DataFrame, keys: Sequence[str]) -> tuple[File, ...]:
-    """The files whose range of the first key meets that of ``fresh``."""
+    """The files whose range of the first key holds one of ``fresh``: exactly, if that has up to
+    :data:`NAMED_KEYS` different ones (classes, mostly), else by the range of them all."""
     files = tuple(files)
     if not keys or not files or not _comparable(fresh.schema[keys[0]].dataType):
         return files
     key = F.col(f"`{keys[0]}`")
-    low, high, nulls = fresh.agg(F.min(key), F.max(key), F.bool_or(key.isNull())).first()
+    found = [row[0] for row in fresh.select(key).distinct().limit(NAMED_KEYS + 1).collect()]
+    nulls, named, whole = None in found, sorted(k for k in found if k is not None), len(found) <= NAMED_KEYS
+    if not whole:
+        *named, nulls = fresh.agg(F.min(key), F.max(key), F.bool_or(key.isNull())).first()
     read = str if isinstance(fresh.schema[keys[0]].dataType, T.StringType) else int
 
     def meets(f: File) -> bool:
         if f.nulls and (nulls or f.low is None):
             return True
-        if low is None:
+        if not named:
             return False
-        return f.low is None or (read(f.low) <= high and low <= read(f.high))
+        if f.low is None:
+            return True
+        if not whole:
+            return read(f.low) <= named[1] and named[0] <= read(f.high)
+        at = bisect_left(named, read(f.low))
+        return at < len(named) and named[at] <= read(f.high)
 
     return tuple(f for f in files if meets(f))
 
