@@ -294,7 +294,7 @@ def _stage(
             table = may_be_file_of(path, tables, "csv")
             return table & ~path.isin(out) if out else table
 
-        scans.append(delimited.positional_rows(spark, roots, reach + 1, wanted, multiline, True))
+        scans.append(delimited.positional_rows(spark, roots, max(reach, 1), wanted, multiline, True))
     if any(row.inside for row in counts.values()):
         inside = files.join(lines.select("path"), "path", "left_semi").filter("archive_path IS NOT NULL")
         scans.append(archives.read_members(inside))

@@ -203,10 +203,10 @@ def bound_rows(
 
 
 def reach(headers: DataFrame, contract: Contract) -> int:
-    """How many cells of a row are needed: up to the last contract column of any file, and one more.
-    Columns of no contract beyond that do not widen the scan."""
+    """How many cells of a row are needed: up to the last contract column of any file. Columns of no
+    contract beyond that do not widen the scan."""
     last = with_places(headers, contract).agg(F.max(F.array_max("places"))).first()[0]
-    return (last or 0) + 1
+    return max(last or 0, 1)
 
 
 def read_csv(
