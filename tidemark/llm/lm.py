@@ -199,22 +199,25 @@ def _answer_bigrams(key: tuple, table: pa.Table) -> pa.Table:
         keys[row : row + n, :width] = tx.unpack(packed.as_py(), n * width, np.uint8).reshape(width, n).T
         row += n
     keys = keys.view("<u8").reshape(-1)
-    learnt = np.flatnonzero(counts)
-    order = learnt[np.lexsort((keys[learnt], contexts[learnt]))]
+    # Each different bigram is looked up once, whatever number of blocks ask for it.
+    order = np.lexsort((keys, contexts))
     c, k = contexts[order], keys[order]
     first = np.ones(len(order), bool)
     first[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
     at = np.flatnonzero(first)
-    total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else at
-    codes = quantise(total / (seen[order][at] + MU))
-    trie = Trie.of(c[at], k[at], codes).mapped()
+    total = np.add.reduceat(counts[order].astype(np.int64), at)
+    c, k, learnt = c[at], k[at], total > 0
+    codes = quantise(total[learnt] / (seen[order][at][learnt] + MU))
+    found = Trie.of(c[learnt], k[learnt], codes).mapped().look_up(c, k)
+    answers = np.empty(len(order), CODE)
+    answers[order] = found[np.cumsum(first) - 1]
     return pa.table(
         {
             "block": table.column("block"),
             "level": pa.array([2] * len(sizes), pa.int32()),
             "shard": table.column("shard"),
             "n": table.column("n"),
-            "reply": _replies(table, sizes, trie.look_up(contexts, keys)),
+            "reply": _replies(table, sizes, answers),
         }
     )
 
