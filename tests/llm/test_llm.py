@@ -479,6 +479,17 @@ def test_pipeline(spark, folder, docs, nothing):
             assert last.count() == 0
 
 
+def test_stages_return_all_columns_as_they_got_them(spark, folder, docs):
+    more = ("lang_pred", "SCORE", "n_items", "pii", "text_hash", "_doc_id", "block", "stays")
+    given = docs.where("doc_id IS NOT NULL").withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in more})
+    spark.createDataFrame([(1, "not in any text of these")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, given, folder)
+        assert got.columns == given.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in more), name
+
+
 def test_rows_of_one_id_are_dropped_by_themselves(spark):
     rng = random.Random(9)
     a, b, c, d = (" ".join(rng.choices([f"v{i}" for i in range(300)], k=60)) for _ in range(4))
