@@ -26,17 +26,28 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, BATCH_BYTES)
 
 
+def _aside(docs: DataFrame, names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with other names for columns that an operator would take for its own results, and the way
+    back: a stage returns all columns as it got them."""
+    own = names.split()
+    renamed = {f"\u0002{c}": c for c in docs.columns if c.lower() in own}
+    return docs.withColumnsRenamed({c: r for r, c in renamed.items()}), renamed
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with :data:`LEAST_SCORE`; a missing ``lang`` is filled in.
 
     Texts that are null or have no letter go.
     """
     _bound_batches(spark)
+    columns = docs.columns
+    docs, back = _aside(docs, "lang_pred score")
     model = language.train(docs.where("doc_id IS NOT NULL"))
     known = language.predict(docs, model).where(
         (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
     )
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    known = known.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    return known.withColumnsRenamed(back).select(*columns)
 
 
 #: Pairs of 16 bytes that are handed to every task at most, to keep texts from being shuffled for them.
@@ -57,11 +68,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = near_duplicates(texts, stays=True).where("doc_id IS NOT NULL")
     act = rows.groupBy(*key).agg(F.bool_and("stays").alias("stays"), F.count("*").alias("copies"))
     act = materialise(act.where("NOT stays OR copies > 1"), "duplicates")
-    names = {c: f"_{c}" for c in key}
+    names = {c: f"\u0002{c}" for c in key}
     act = act.withColumnsRenamed(names)
     gone = broadcast_if_small(act.where("NOT stays").select(*names.values()), BROADCAST_PAIRS)
     again = broadcast_if_small(act.where("stays").select(*names.values()), BROADCAST_PAIRS)
-    same = (F.col("_doc_id") == docs["doc_id"]) & (F.col("_text_hash") == F.xxhash64(docs["text"]))
+    same = (F.col(names["doc_id"]) == F.col("doc_id")) & (F.col(names["text_hash"]) == F.xxhash64("text"))
     kept = docs.join(gone, same, "left_anti")
     if not again.isEmpty():
         one = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
@@ -72,16 +83,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     _bound_batches(spark)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return count_items(docs, items).where("n_items = 0").select(*docs.columns)
+    items, columns = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns
+    docs, back = _aside(docs, "n_items")
+    clean = count_items(docs, items).where("n_items = 0").drop("n_items")
+    return clean.withColumnsRenamed(back).select(*columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by marks; ``n_chars`` follows the text."""
+    columns = docs.columns
+    docs, back = _aside(docs, "pii")
     masked = pii.mask_pii(pii.find_pii(docs))
     size = F.length("text").cast(docs.schema["n_chars"].dataType)
     changed = F.when(F.size("pii") > 0, size).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", changed).select(*docs.columns)
+    masked = masked.withColumn("n_chars", changed).drop("pii")
+    return masked.withColumnsRenamed(back).select(*columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
