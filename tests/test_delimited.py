@@ -1,4 +1,6 @@
 import csv
+import gzip
+import os
 import random
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.contracts import Contract
 from tidemark.functions.casting import split_failed
 from tidemark.sources import delimited
-from tidemark.sources.catalogue import may_be_file_of
+from tidemark.sources.catalogue import list_files, may_be_file_of
 
 CONTRACT = Contract.of("t", "id BIGINT, text STRING, flag BOOLEAN, ratio DOUBLE, note STRING")
 
@@ -137,3 +139,66 @@ def test_row_filters_are_plain(spark, folder, write):
         spark, [folder], 1, lambda path: may_be_file_of(path, [CONTRACT], "csv")
     )
     assert "regexp" not in rows._jdf.queryExecution().toString() and rows.count() == 1
+
+
+def _odd_heads(folder, write):
+    """Files whose first lines are told in all ways, and what these are."""
+    write(f"{folder}/plain/t.csv", "id,text\n1,id\n")
+    write(f"{folder}/quoted bom/T.CSV", '﻿"id","flag" \r\n1,true\r\n')
+    write(f"{folder}/old line ends/t.csv", "\r\rnote,id\rx,1\r")
+    write(f"{folder}/many/t.csv", "\n" * 12_000 + "ratio,id\n" + "id,text\n" * 25_000)
+    write(f"{folder}/no end/t.csv", "id,bonus")
+    write(f"{folder}/other name/t.txt", "\nid,note\n1,x\n")
+    write(f"{folder}/blank/t.csv", "\n\n")
+    write(f"{folder}/nothing/t.csv", "")
+    os.makedirs(f"{folder}/packed")
+    with gzip.open(f"{folder}/packed/t.csv.gz", "wt") as file:
+        file.write("text,id\nx,1\n")
+    return {
+        "plain": ["id", "text"],
+        "quoted%20bom": ["id", "flag"],
+        "old%20line%20ends": ["note", "id"],
+        "many": ["ratio", "id"],
+        "no%20end": ["id", "bonus"],
+        "other%20name": ["id", "note"],
+        "packed": ["text", "id"],
+    }
+
+
+def test_first_lines_are_opened_or_scanned_alike(spark, folder, write):
+    want = _odd_heads(folder, write)
+    for found in (
+        delimited.read_headers(spark, [folder]),
+        delimited.first_headers(spark, [folder], list_files(spark, [folder])),
+    ):
+        rows = found.collect()
+        assert {r.path.rsplit("/", 2)[1]: r.header for r in rows} == want and len(rows) == len(want)
+
+
+def test_lines_are_not_sorted_for_headers(spark, folder, write):
+    """A sort of all lines of a task takes memory in proportion to them."""
+    write(f"{folder}/t.csv", "id,text\n" + "1,x\n" * 1000)
+    plan = delimited.read_headers(spark, [folder])._jdf.queryExecution().executedPlan().toString()
+    steps = [line.strip(" +-:") for line in plan.splitlines()]
+    scan = next(i for i, step in enumerate(steps) if "FileScan text" in step)
+    narrowed = next(i for i, step in enumerate(steps) if step.startswith("MapInArrow"))
+    assert narrowed < scan and not any(step.startswith("Sort") for step in steps[narrowed:])
+
+
+def test_only_files_that_tasks_cannot_open_are_scanned_for_headers(spark, folder, write, monkeypatch):
+    scanned, scan = [], delimited.read_headers
+
+    def watched(*args, **options):
+        found = scan(*args, **options)
+        scanned.extend(r.path.rsplit("/", 1)[1] for r in found.collect())
+        return found
+
+    monkeypatch.setattr(delimited, "read_headers", watched)
+    write(f"{folder}/a/t.csv", "id,text\n1,a\n")
+    write(f"{folder}/a/u.csv", "text,id\nb,2\n")
+    rows = delimited.read_csv(spark, [f"{folder}/a"], CONTRACT).select("id", "text")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a"), (2, "b")] and scanned == []
+    with gzip.open(f"{folder}/a/v.csv.gz", "wt") as file:
+        file.write("note,text,id\nn,c,3\n")
+    rows = delimited.read_csv(spark, [f"{folder}/a"], CONTRACT).select("id", "text")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a"), (2, "b"), (3, "c")] and scanned == ["v.csv.gz"]

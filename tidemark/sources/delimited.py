@@ -1,7 +1,7 @@
 """Typed CSV reads by column *name*, for any number of files with different headers.
 
 Spark binds CSV columns by position. So every file is read in one scan as positional text cells,
-the header of each file comes from one pass over the first lines, and a join on the file path tells
+the header of each file comes from its first line, and a join on the file path tells
 each row which cell belongs to which contract column. There is one scan per table however many
 header variants exist, no list of paths on the driver, and no shuffle of rows while the header
 table is small enough to broadcast (it is counted first).
@@ -13,9 +13,12 @@ out. Its cells are in doubt, so such rows are never cut to fit without a word: :
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,8 @@ from tidemark.functions.casting import conform
 from tidemark.functions.paths import unit_of
 from tidemark.scratch import BROADCAST_ROWS, broadcast_if_small, materialise
 from tidemark.sources.catalogue import list_files
+from tidemark.sources.heads import read_first_lines
+from tidemark.sources.storage import reachable
 
 #: Quotes are doubled inside quoted fields, as spreadsheet tools and data frames write them.
 CSV_OPTIONS = {"header": True, "escape": '"', "enforceSchema": True, "recursiveFileLookup": True}
@@ -48,18 +53,32 @@ def split_header(line: Column) -> Column:
     return F.transform(F.split(bare, ","), lambda cell: F.regexp_replace(cell, '^"|"$', ""))
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the lines of a task, which come file by file, the first of each file."""
+    last = None
+    for batch in batches:
+        paths, rows = batch.column("path"), batch.num_rows
+        if not rows:
+            continue
+        changes = pc.not_equal(paths.slice(1), paths.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(paths[0].as_py() != last, changes))
+        last = paths[rows - 1].as_py()
+        if len(starts):
+            yield batch.take(pa.array(starts))
+
+
 def read_headers(
     spark: SparkSession,
     roots: Iterable[str],
     wanted: PathFilter = everything,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(path, header): the column names of each file.
+    """(path, header): the column names of each file, by a scan of all lines; :func:`first_headers` reads less.
 
     With ``names``, a first line holding any other name gives a NULL header. Then the lines that
     are not such headers fold into one counter per file within each task, so only about two short
-    rows per file are shuffled and nothing is sorted. Without ``names`` any first line is taken, at
-    the price of a sort by file in each task.
+    rows per file are shuffled and nothing is sorted. Without ``names`` any first line is taken, and
+    each task sends one line per file.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -74,6 +93,8 @@ def read_headers(
         .filter(F.col("value") != "")
     )
     if names is None:
+        # An aggregate over texts would sort all lines first.
+        lines = lines.mapInArrow(_first_of_each, "path string, line_no bigint, value string")
         first = lines.groupBy("path").agg(F.min_by("value", "line_no").alias("line"))
     else:
         header_like = F.when(F.col("value").rlike(_header_pattern(names)), F.col("value"))
@@ -84,6 +105,23 @@ def read_headers(
     return first.select("path", split_header(F.col("line")).alias("header"))
 
 
+def _opened(path: Column) -> Column:
+    """Whether tasks read the first line by themselves. Other names may be of compressed files, and some
+    stores only Spark can open."""
+    return F.lower(path).endswith(".csv") & reachable(path)
+
+
+def first_headers(spark: SparkSession, roots: Iterable[str], files: DataFrame) -> DataFrame:
+    """What :func:`read_headers` gives without ``names`` for the ``files`` (path, size) that lie below ``roots``,
+    from the first bytes of each. Only those that tasks can't open are scanned."""
+    files = files.filter("size > 0")
+    lines = read_first_lines(files.filter(_opened(F.col("path")))).filter("value IS NOT NULL")
+    found = lines.select("path", split_header(F.col("value")).alias("header"))
+    if not files.filter(~_opened(F.col("path"))).isEmpty():
+        found = found.unionByName(read_headers(spark, roots, lambda path: ~_opened(path)))
+    return found
+
+
 def with_places(headers: DataFrame, contract: Contract) -> DataFrame:
     """(path, places, last_place): for each contract column its 1-based place in the file, 0 if
     absent, and the number of columns the file has."""
@@ -224,15 +262,15 @@ def read_csv(
     ``casting.split_failed`` keeps rows of wrong types apart instead.
     """
     roots = list(roots)
-    files = list_files(spark, roots).count()
-    headers = materialise(read_headers(spark, roots), "headers")
+    files = list_files(spark, roots)
+    headers = materialise(first_headers(spark, roots, files), "headers")
     rows = bound_rows(
         spark,
         roots,
         headers,
         contract,
         multiline=multiline,
-        buckets=buckets_for(files),
+        buckets=buckets_for(files.count()),
     )
     rows = rows.drop("ragged") if lenient else refuse_ragged(rows)
     return conform(rows, contract, lenient)

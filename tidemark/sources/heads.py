@@ -139,6 +139,24 @@ def read_heads(files: DataFrame, id_column: str = "class_id", rows: int = 0) ->
     return spread_tasks(wanted).mapInArrow(_heads(id_column, rows), HEADS)
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            with open_stream(path) as stream:
+                lines = io.TextIOWrapper(stream, "utf-8-sig", errors="replace")
+                found.append(next((bare for line in lines if (bare := line.removesuffix("\n"))), None))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), pa.array(found, pa.string())], names=["path", "value"]
+        )
+
+
+def read_first_lines(files: DataFrame) -> DataFrame:
+    """(path, value): the first line of each file that is not empty, as Spark's text reader has it, NULL
+    if there is none. For files that are not compressed."""
+    return spread_tasks(files.select("path")).mapInArrow(_first_lines, "path string, value string")
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []

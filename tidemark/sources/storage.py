@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ SCHEMES = {
 
 def reachable(path: Column) -> Column:
     """Whether tasks can open the file by themselves, by the scheme of its path."""
-    return F.regexp_extract(path, r"^([^:/]+):", 1).isin(*SCHEMES)
+    return reduce(or_, [path.startswith(f"{scheme}:") for scheme in SCHEMES])
 
 
 def locate(path: str):
